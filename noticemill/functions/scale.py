@@ -78,3 +78,13 @@ def running_total(
     local = rows.withColumn("_local", F.coalesce(F.sum(value).over(inside), F.lit(0)))
     joined = local.join(carry, keys + ["_block"], "inner")
     return joined.withColumn(name, F.col("_local") + F.col("_carry")).drop("_local", "_carry", "_block")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give a scan at least one partition per core before CPU-heavy work.
+
+    Large tables split by file size and are returned unchanged; only a table
+    in fewer pieces than there are cores (one small file) is redistributed.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

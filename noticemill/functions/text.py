@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 
 from noticemill import vocab
 
-WHITESPACE = r"(?U)[\s\x1c-\x1f]"
 _NON_ASCII = r"[^\x00-\x7f]"
 
 
@@ -95,6 +94,12 @@ def fold_ascii(col: Column) -> Column:
     return F.lower(_fold(col, casefold=True, to_ascii_only=True))
 
 
+def fold_latin(col: Column) -> Column:
+    """Lower-case text without the accents of western European letters."""
+    letters = [chr(cp) for cp in range(0xC0, 0x100) if len(_without_marks(chr(cp))) == 1]
+    return caseless(F.translate(col, "".join(letters), "".join(_without_marks(c) for c in letters)))
+
+
 def blank_to_null(col: Column) -> Column:
     return F.nullif(col, F.lit(""))
 
@@ -139,9 +144,23 @@ IDENTIFIER_NORMALIZERS = {
 }
 
 
+# Every whitespace character, by the Unicode database.
+SPACES = "".join(chr(cp) for cp in range(0x3001) if chr(cp).isspace())
+
+
 def strip(col: Column) -> Column:
     """Trim every Unicode whitespace character, not only spaces."""
-    return F.regexp_replace(col, r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
+    return F.btrim(col, F.lit(SPACES))
+
+
+def without_spaces(col: Column) -> Column:
+    return F.translate(col, SPACES, "")
+
+
+def caseless(col: Column) -> Column:
+    """Lower case in which a case-insensitive literal can be looked up with
+    ``contains``; i, s and k have extra case partners outside ASCII."""
+    return F.lower(F.translate(col, "İıſK", "iisk"))
 
 
 def search(col: Column, pattern: str, group: int = 0) -> Column:

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from noticemill.functions.scale import spread
 from noticemill.sources.pages import as_pages
 
 
@@ -137,7 +138,7 @@ where k%5 <> 0
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def golden(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from noticemill.functions.text import strip
+from noticemill.functions.text import strip, without_spaces
 
 PAGE_SCHEMA = T.StructType(
     [
@@ -35,7 +35,7 @@ def as_pages(df: DataFrame, document_id: str, page_number: str, text: str) -> Da
         F.col(page_number).cast("int").alias("page_number"),
         clean.alias("text"),
         F.lit("NATIVE_TEXT").alias("extraction_method"),
-        F.length(F.regexp_replace(clean, r"(?U)[\s\x1c-\x1f]", "")).alias("native_text_length"),
+        F.length(without_spaces(clean)).alias("native_text_length"),
         F.lit(False).alias("ocr_applied"),
         F.array().cast("array<string>").alias("warnings"),
     )

@@ -179,6 +179,36 @@ PATTERNS = {
         r"(?:\s*\((\d+(?:,\d+)?)%\))?"
     ),
 }
+# Text every match of a pattern contains one of (case-sensitive for the three
+# codes, lower case for the rest); pages without it skip the expression.
+PATTERN_LITERALS = {
+    "cnpj": ["/"],
+    "isin": ["BR"],
+    "share_words": ["ordin", "preferencial"],
+    "share_letters": ["(ON)", "(PN)"],
+    "approval_date": ["data de aprova"],
+    "record_date": ["data-base"],
+    "ex_date": ["data", "cio da negocia"],
+    "payment_date": ["data de pagamento"],
+    "credit_date": ["dito das a"],
+    "narrative_approval": ["reuni", "assembleia geral extraordin"],
+    "fraction_period": ["odo de ajuste de fra"],
+    "payment_not_disclosed": ["data de pagamento ser"],
+    "gross_amount_per_share": ["valor bruto por a"],
+    "net_amount_per_share": ["quido por a"],
+    "attributed_cost_per_share": ["custo atribu"],
+    "tax_rate_percent": ["irrf na fonte", "imposto de renda retido na"],
+    "tax_by_beneficiary": ["quota"],
+    "tax_uniform": ["imposto de renda"],
+    "ratio_colon": ["propor"],
+    "ratio_words": ["nova para cada"],
+    "JCP": ["capital pr"],
+    "BONUS_SHARES": ["bonifica"],
+    "REVERSE_SPLIT": ["grupamento de a", "inplit"],
+    "STOCK_SPLIT": ["desdobramento de a", "split"],
+    "DIVIDEND": ["dividendo"],
+}
+CASE_SENSITIVE = ["cnpj", "isin", "ticker", "share_letters"]
 # Event patterns, strongest first: the first hit on a page classifies the page.
 EVENT_PATTERNS = [
     ("JCP", r"(?iU)juros sobre (?:o )?capital pr[oó]prio|remunera[cç][aã]o do capital pr[oó]prio"),
