@@ -10,13 +10,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from noticemill import vocab
 from noticemill.functions.scale import fits_broadcast, lookup_join
-from noticemill.functions.sqltext import compact, in_list, q
+from noticemill.functions.sqltext import compact, q
 from noticemill.functions.text import IDENTIFIER_NORMALIZERS, normalize_text
+from noticemill.sources.golden import UNIQUE_IDENTIFIERS
 
 RECORD = "struct<" + ",".join(f"{c}:string" for c in vocab.GOLDEN_COLUMNS) + ">"
 CONFLICT = "struct<code:string,field:string,expected:string,observed:string>"
@@ -33,10 +34,13 @@ class Golden:
         """One row per normalised identifier value: n rows and the first one."""
         key = f"n_{identifier}"
         hit = F.struct("position", "record", *[f"n_{i}" for i in vocab.IDENTIFIERS])
-        return (
-            self.rows.where(f"{key} is not null")
-            .groupBy(F.col(key).alias(f"key_{identifier}"))
-            .agg(F.count(F.lit(1)).alias(f"count_{identifier}"), F.min(hit).alias(f"hit_{identifier}"))
+        known = self.rows.where(f"{key} is not null")
+        if identifier in UNIQUE_IDENTIFIERS:
+            return known.select(
+                F.col(key).alias(f"key_{identifier}"), F.lit(1).alias(f"count_{identifier}"), hit.alias(f"hit_{identifier}")
+            )
+        return known.groupBy(F.col(key).alias(f"key_{identifier}")).agg(
+            F.count(F.lit(1)).alias(f"count_{identifier}"), F.min(hit).alias(f"hit_{identifier}")
         )
 
 
@@ -46,7 +50,9 @@ def prepare_golden(golden: DataFrame, position: str = "position") -> Golden:
         F.struct(*[F.col(c) for c in vocab.GOLDEN_COLUMNS]).alias("record"),
         *[IDENTIFIER_NORMALIZERS[i](F.col(i)).alias(f"n_{i}") for i in vocab.IDENTIFIERS],
     )
-    return Golden(rows, fits_broadcast(golden))
+    small = fits_broadcast(golden)
+    # Below the bound the normalised rows are kept, as every lookup reads them.
+    return Golden(rows.coalesce(1).persist() if small else rows, small)
 
 
 def with_keys(records: DataFrame) -> DataFrame:

@@ -141,12 +141,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
+def dimension(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
 def golden(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(GOLDEN, supplier=table(spark, sf_dir, "supplier"))
+    return spark.sql(GOLDEN, supplier=dimension(spark, sf_dir, "supplier"))
 
 
 def notice_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(FIELDS, supplier=table(spark, sf_dir, "supplier"), orders=table(spark, sf_dir, "orders"))
+    return spark.sql(FIELDS, supplier=dimension(spark, sf_dir, "supplier"), orders=table(spark, sf_dir, "orders"))
 
 
 def notice_text(spark: SparkSession, sf_dir: str) -> DataFrame:
