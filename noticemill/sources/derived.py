@@ -115,7 +115,7 @@ from {documents}
 """
 
 LOG = """
-select event_id as seq, ts, user_id as doc_key,
+select event_id as seq, cast(ts as timestamp) as ts, user_id as doc_key,
  case event_type when 'signup' then 'CLAIM' when 'view' then 'CLAIM' when 'click' then 'FORCE'
    when 'purchase' then 'RESULT_OK' else 'RESULT_FAIL' end as action, value
 from {events}
