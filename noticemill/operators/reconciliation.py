@@ -37,7 +37,7 @@ class Golden:
         known = self.rows.where(f"{key} is not null")
         if identifier in UNIQUE_IDENTIFIERS:
             return known.select(
-                F.col(key).alias(f"key_{identifier}"), F.lit(1).alias(f"count_{identifier}"), hit.alias(f"hit_{identifier}")
+                F.col(key).alias(f"key_{identifier}"), F.lit(1).cast("long").alias(f"count_{identifier}"), hit.alias(f"hit_{identifier}")
             )
         return known.groupBy(F.col(key).alias(f"key_{identifier}")).agg(
             F.count(F.lit(1)).alias(f"count_{identifier}"), F.min(hit).alias(f"hit_{identifier}")
