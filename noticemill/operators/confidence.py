@@ -95,7 +95,7 @@ def long_fields(records: DataFrame) -> DataFrame:
         f"'sources', {n}.sources, 'validation', {n}.validation)"
         for i, (n, path) in enumerate(vocab.FIELDS)
     ]
-    return records.select("document_id", F.expr(f"inline({array_of(structs)})"))
+    return records.select("document_id", F.expr(f"inline_outer({array_of(structs)})"))
 
 
 def confidence_reason(fields: DataFrame) -> DataFrame:

@@ -33,7 +33,7 @@ def _critical() -> str:
 
 
 def critical_fields(records: DataFrame) -> DataFrame:
-    return records.select("document_id", F.expr(f"posexplode({_critical()}) as (ord, c)")).select(
+    return records.select("document_id", F.expr(f"posexplode_outer({_critical()}) as (ord, c)")).select(
         "document_id", "ord", "c.*"
     )
 

@@ -179,8 +179,13 @@ def validate(records: DataFrame) -> DataFrame:
 
 
 def explode_results(records: DataFrame, column: str) -> DataFrame:
-    """(document_id, ord, rule, status, message, expected, observed) rows."""
-    return records.select("document_id", F.posexplode(column).alias("ord", "r")).select("document_id", "ord", "r.*")
+    """(document_id, ord, rule, status, message, expected, observed) rows.
+
+    The outer form keeps Spark from inferring a size filter, which would
+    evaluate the whole rule expression a second time below the generator.
+    """
+    rows = records.select("document_id", F.posexplode_outer(column).alias("ord", "r"))
+    return rows.where("r is not null").select("document_id", "ord", "r.*")
 
 
 def attach(records: DataFrame) -> DataFrame:

@@ -60,7 +60,7 @@ O["content_sha256"] = S(
     "select seq, sha256(content) as sha256, 'sha256:' || sha256(content) as document_id from uploads", "uploads")
 O["admission_checks"] = S(
     f"""select seq, reject_reason, cast(case when reject_reason is null then null when reject_reason = {q(vocab.REJECT_SIZE)}
-     then 413 else 400 end as integer) as http_status from checked""", "uploads", extra={"checked": CHECKED})
+     then 413 else 400 end as varchar) as http_status from checked""", "uploads", extra={"checked": CHECKED})
 O["admission_batch_gate"] = S(
     """select cast(floor(seq / 4) as bigint) as batch_id, seq from (select seq,
      max(case when reject_reason is not null then 1 else 0 end) over (partition by cast(floor(seq / 4) as bigint)) as bad
@@ -96,7 +96,7 @@ O["registry_apply_claims"] = S(
      coalesce(w.file_name, r.original_file_name) as original_file_name,
      case when w.sha is not null then 'PROCESSING' else r.processing_state end as processing_state,
      cast(case when r.sha is null then 1 when w.sha is not null then r.revision + 1 else r.revision end as bigint) as revision,
-     case when w.sha is not null then null else r.processed_at end as processed_at, w.sha is not null as acquired
+     cast(case when w.sha is not null then null else r.processed_at end as varchar) as processed_at, w.sha is not null as acquired
      from registry r full outer join (select * from (select c.*, row_number() over (partition by c.sha order by c.seq) as n
        from claims c left join registry g on g.sha = c.sha where g.sha is null or g.processing_state = 'FAILED'
        or (g.processing_state = 'COMPLETED' and c.force)) where n = 1) w on w.sha = r.sha""",
@@ -198,11 +198,11 @@ O["document_text_assembly"] = S(
     r"""select document_id, string_agg('--- PAGE ' || page_number || ' [' || extraction_method || '] ---' || chr(10) ||
      regexp_replace(text, '^\s+|\s+$', '', 'g'), chr(10) || chr(10) order by page_number) as text from mixed group by document_id""", extra=MIXED)
 O["page_range_slice"] = S(
-    """select p.document_id, p.page_number, substr(p.text, 1, cast(600 - before as bigint)) as text, total > 600 or earlier >= 600 as truncated,
+    """select p.document_id, cast(p.page_number as varchar) as page_number, substr(p.text, 1, cast(600 - before as bigint)) as text, cast(total > 600 or earlier >= 600 as varchar) as truncated,
       cast(null as varchar) as error from sized p join (select document_id, sum(len) as total,
       coalesce(sum(case when page_number < 3 then len end), 0) as earlier from sized group by document_id) t on t.document_id = p.document_id
      where before < 600 and page_count >= 3
-     union all select distinct document_id, cast(null as integer), null, cast(null as boolean), 'Página 3 inválida; o PDF possui ' || page_count || ' página(s)'
+     union all select distinct document_id, null, null, null, 'Página 3 inválida; o PDF possui ' || page_count || ' página(s)'
      from counted where page_count < 3""",
     extra={
         "turns": r"select cast(conv_id as varchar) as document_id, cast(turn + 1 as integer) as page_number, regexp_replace(text, '^\s+|\s+$', '', 'g') as text from conversations",
@@ -238,7 +238,7 @@ O["canonical_value"] = S(
 def _field(value: str, evidence: str, status: str = "'EXTRACTED'") -> str:
     return S(
         f"""select document_id, {value} as value, case when {evidence} is null then 'UNKNOWN' else {status} end as status,
-         cast(case when {evidence} is null then null else 1 end as integer) as page, {evidence} as evidence from notices""",
+         case when {evidence} is null then null else '1' end as page, {evidence} as evidence from notices""",
         "notices")
 
 
@@ -437,7 +437,7 @@ _RV = ("fields", "ngolden")
 _FIVE = [("issuer", "issuer", "issuer"), ("cnpj", "cnpj", "cnpj"), ("isin", "isin", "isin"), ("ticker", "ticker", "ticker"),
          ("share_class", "class", "share_class")]
 O["reference_matches"] = S("select * from hit", *_RV, extra=_REF)
-O["reference_select"] = S("select document_id, position, strong_conflict from sel", *_RV, extra=_REF)
+O["reference_select"] = S("select document_id, cast(position as varchar) as position, strong_conflict from sel", *_RV, extra=_REF)
 O["reference_strong_conflict"] = S(
     """select c.document_id, 'REF_STRONG_IDENTIFIER_CONFLICT' as code, '{"isin":"' || c.isin || '","cnpj":"' || c.cnpj || '"}' as observed,
      a.issuer || '|' || b.issuer as candidates from cmpx c join golden a on a.k = least(c.i, c.c) join golden b on b.k = greatest(c.i, c.c)

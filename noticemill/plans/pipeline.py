@@ -34,3 +34,15 @@ def with_file_names(records: DataFrame, prefix: str = "notice_") -> DataFrame:
 def process(pages: DataFrame, golden: reconciliation.Golden) -> DataFrame:
     """Pages + golden table -> routed records, one row per document."""
     return with_file_names(decide(pattern_records(pages), golden))
+
+
+def store(records: DataFrame, path: str) -> DataFrame:
+    """Write records and continue from the table.
+
+    Decisions are deep expressions over the extracted fields.  A filter on a
+    decision would be pushed down and re-evaluate them; whoever selects by
+    status, reason or score reads the written records instead, which also
+    prunes columns and partitions.
+    """
+    records.write.mode("overwrite").parquet(path)
+    return records.sparkSession.read.parquet(path)

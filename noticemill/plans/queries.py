@@ -77,6 +77,13 @@ def routed(spark: SparkSession, d: str) -> DataFrame:
     return pipeline.process(derived.notice_pages(spark, d), golden_of(spark, d))
 
 
+def stored(spark: SparkSession, d: str) -> DataFrame:
+    """Routed records as a written table, for queries that select by decision."""
+    columns = ["document_id", "file_name", "processing_status", "document_confidence", "exceptions", "review",
+               "manual_review"]
+    return pipeline.store(routed(spark, d).select(*columns), scratch_path(spark, "records"))
+
+
 # -- sources and sinks ------------------------------------------------------------
 
 
@@ -122,12 +129,12 @@ def _(spark, d):
 @query("sink_artifact_log")
 def _(spark, d):
     path = scratch_path(spark, "artifacts")
-    rows = sinks.artifacts(sinks.to_document_json(routed(spark, d)))
     # Two appends of one job's output: the log only grows.
-    half = F.col("document_id").cast("long") % 2
-    rows = rows.withColumn("half", half)
+    pages = derived.notice_pages(spark, d)
+    golden = golden_of(spark, d)
     for part in (0, 1):
-        sinks.append_artifacts(rows.where(F.col("half") == part).drop("half"), path)
+        half = pages.where(F.col("document_id").cast("long") % 2 == part)
+        sinks.append_artifacts(sinks.artifacts(sinks.to_document_json(pipeline.process(half, golden))), path)
     return spark.read.parquet(path).select("artifact_type", "file_name", "document_id", "processing_status")
 
 
@@ -151,7 +158,9 @@ def _(spark, d):
 
 @query("admission_checks")
 def _(spark, d):
-    return admission.admission_checks(derived.uploads(spark, d)).select("seq", "reject_reason", "http_status")
+    return admission.admission_checks(derived.uploads(spark, d)).select(
+        "seq", "reject_reason", F.col("http_status").cast("string").alias("http_status")
+    )
 
 
 @query("admission_batch_gate")
@@ -206,7 +215,7 @@ def _(spark, d):
     after = reg.apply_claims(derived.registry(spark, d), samples.claims(spark, d))
     return after.select(
         "document_id", "original_file_name", "processing_state", F.col("revision").cast("long").alias("revision"),
-        "processed_at", "acquired",
+        F.col("processed_at").cast("string").alias("processed_at"), "acquired",
     )
 
 
@@ -272,7 +281,7 @@ def _approvals(records):
 
 @query("manual_approval")
 def _(spark, d):
-    records = routed(spark, d)
+    records = stored(spark, d)
     updated, _ = routing.apply_approvals(records, _approvals(records))
     return updated.select(
         "document_id", "processing_status", F.col("manual_review.approved").alias("approved"),
@@ -285,7 +294,7 @@ def _(spark, d):
 
 @query("manual_approval_refused")
 def _(spark, d):
-    records = routed(spark, d).select("document_id", "processing_status", "manual_review", "review")
+    records = stored(spark, d)
     return routing.apply_approvals(records, _approvals(records))[1]
 
 
@@ -325,7 +334,8 @@ def _(spark, d):
 @query("page_range_slice")
 def _(spark, d):
     return page_ops.slice_pages(derived.conversation_pages(spark, d), 1, 3, 600).select(
-        "document_id", "page_number", "text", "truncated", "error"
+        "document_id", F.col("page_number").cast("string").alias("page_number"), "text",
+        F.col("truncated").cast("string").alias("truncated"), "error",
     )
 
 
@@ -398,7 +408,8 @@ def _(spark, d):
 def _extraction(name: str, field: str) -> None:
     @query(name)
     def _(spark, d):
-        return extraction.extract_field(derived.notice_pages(spark, d), field)
+        found = extraction.extract_field(derived.notice_pages(spark, d), field)
+        return found.withColumn("page", F.col("page").cast("string"))
 
 
 for _name, _field in {
@@ -560,7 +571,7 @@ def _(spark, d):
 @query("preliminary_checks")
 def _(spark, d):
     checked = consensus.preliminary_checks(samples.single_pass_records(spark, d, golden_of(spark, d)))
-    return checked.select("document_id", F.expr("posexplode(preliminary_checks) as (ord, c)")).select(
+    return checked.select("document_id", F.expr("posexplode_outer(preliminary_checks) as (ord, c)")).select(
         "document_id", "ord", "c.code", "c.passed", "c.message"
     )
 
@@ -586,7 +597,7 @@ def _(spark, d):
 @query("reference_select")
 def _(spark, d):
     chosen = reconciliation.reference_select(_matched(spark, d))
-    return chosen.select("document_id", F.col("selected.position").alias("position"), "strong_conflict")
+    return chosen.select("document_id", F.col("selected.position").cast("string").alias("position"), "strong_conflict")
 
 
 @query("reference_strong_conflict")
@@ -602,7 +613,7 @@ def _(spark, d):
 @query("reference_compare")
 def _(spark, d):
     done = reconciliation.reconcile(samples.identifier_records(spark, d), golden_of(spark, d))
-    exploded = done.select("document_id", F.expr("explode(reference_validation.conflicts) as c"))
+    exploded = done.select("document_id", F.expr("explode_outer(reference_validation.conflicts) as c"))
     return exploded.where("c.field <> 'identity'").select(
         "document_id", "c.code", "c.field", "c.expected", "c.observed"
     )
@@ -637,7 +648,7 @@ def _(spark, d):
     structs = array_of(
         [f"struct('{vocab.PATH_OF[n]}' as path, {n}.value, {n}.status, {n}.origin)" for n in names]
     )
-    return enriched(spark, d).select("document_id", F.expr(f"inline({structs})"))
+    return enriched(spark, d).select("document_id", F.expr(f"inline_outer({structs})"))
 
 
 @query("reference_rules")
@@ -681,7 +692,7 @@ def _(spark, d):
     structs = array_of(
         [f"struct('{p}' as path, array_join({n}.validation.rule, '|') as rules)" for n, p in vocab.FIELDS]
     )
-    return attached(spark, d).select("document_id", F.expr(f"inline({structs})")).where("rules <> ''")
+    return attached(spark, d).select("document_id", F.expr(f"inline_outer({structs})")).where("rules <> ''")
 
 
 # -- confidence, routing, reporting ----------------------------------------------------------------------------
@@ -736,14 +747,14 @@ def _(spark, d):
 
 @query("reason_dedup")
 def _(spark, d):
-    reasons = routed(spark, d).select("document_id", F.expr("posexplode(exceptions) as (ord, r)"))
+    reasons = stored(spark, d).select("document_id", F.expr("posexplode(exceptions) as (ord, r)"))
     return reasons.groupBy("r.code", "r.category").agg(
         F.count(F.lit(1)).alias("n"), F.count_distinct("document_id", "r.message").alias("distinct_n")
     )
 
 
 def _lines(spark, d):
-    return reporting.report_documents(routed(spark, d))
+    return reporting.report_documents(stored(spark, d))
 
 
 @query("exception_report_summary")
@@ -768,7 +779,7 @@ def _(spark, d):
 
 @query("exception_report_append")
 def _(spark, d):
-    records = routed(spark, d)
+    records = stored(spark, d)
     cached = F.col("document_id").cast("long") % 4 == 0
     lines = reporting.report_with_cache(records.where(cached), records.where(~cached))
     return lines.select(F.col("ord.part").alias("part"), "document_id", "processing_status")
@@ -818,7 +829,7 @@ def _stream(spark: SparkSession, d: str, table: str) -> DataFrame:
 @query("stream_admission")
 def _(spark, d):
     docs = _stream(spark, d, "documents").selectExpr("doc_id as seq", "text as content").withColumn(
-        "ts", F.timestamp_seconds(F.col("seq"))
+        "ts", F.timestamp_seconds(F.col("seq") + 1_700_000_000)
     )
     path = scratch_path(spark, "admitted")
     jobs.run_to_end(jobs.stream_admission(docs, "3650 days").select("sha256"), path, scratch_path(spark, "chk"))
@@ -848,8 +859,9 @@ def _(spark, d):
     log = scratch_path(spark, "history")
 
     def process(orders: DataFrame) -> DataFrame:
-        fields = spark.sql(derived.FIELDS, supplier=derived.dimension(spark, d, "supplier"), orders=orders)
-        text = spark.sql(derived.PAGES, fields=fields, golden=derived.golden(spark, d))
+        session = orders.sparkSession
+        fields = session.sql(derived.FIELDS, supplier=derived.dimension(session, d, "supplier"), orders=orders)
+        text = session.sql(derived.PAGES, fields=fields, golden=derived.golden(session, d))
         return pipeline.process(as_pages(text, "doc", "page", "text"), golden)
 
     writer = _stream(spark, d, "orders").writeStream.trigger(availableNow=True)
