@@ -13,6 +13,9 @@ SQL_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # A record has hundreds of nested fields; the default of 100 would switch
+    # whole-stage code generation off for every stage that handles one.
+    "spark.sql.codegen.maxFields": "5000",
 }
 
 

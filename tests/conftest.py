@@ -14,7 +14,11 @@ def spark():
         "noticemill-tests",
         "local[8]",
         **{
-            "spark.sql.shuffle.partitions": "4",
+            "spark.sql.shuffle.partitions": "2",
+            # Inputs are a few rows: interpreting beats generating code for them.
+            "spark.sql.codegen.wholeStage": "false",
+            "spark.sql.codegen.factoryMode": "NO_CODEGEN",
+            "spark.python.sql.dataFrameDebugging.enabled": "false",
             "spark.ui.enabled": "false",
             "spark.driver.memory": "4g",
             "spark.ui.showConsoleProgress": "false",
