@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from noticemill import vocab
+from noticemill.operators.consensus import ATTEMPT
 from noticemill.operators.extraction import CONFLICTS, SIGNALS, SOURCES
 
 GOLDEN_ROWS = [
@@ -22,22 +23,34 @@ def pages_frame(spark, rows):
     return spark.createDataFrame(full, "document_id string, page_number int, text string, extraction_method string")
 
 
+FIELD = f"struct<value:string,status:string,origin:string,sources:{SOURCES}>"
+ATTEMPTS = f"array<{ATTEMPT}>"
+RECORD_SCHEMA = (
+    "document_id string, " + ", ".join(f"{n} {FIELD}" for n, _ in vocab.FIELDS)
+    + f", classification_evidence {SIGNALS}, classification_conflicts {CONFLICTS}, error string, "
+    f"extraction_attempts {ATTEMPTS}"
+)
+SIGNAL = ("JCP", "term", (1, "juros", "NATIVE_TEXT"))
+
+
+def records_frame(spark, cases):
+    """One record per case; fields: name -> (value, status, origin, n_sources[, method]).
+
+    Extra keys: _error, _conflicts (descriptions), _attempts (rows).
+    """
+    rows = []
+    for document, fields in cases.items():
+        row = [document]
+        for name, _ in vocab.FIELDS:
+            value, status, origin, n, *method = fields.get(name, (None, "UNKNOWN", "UNKNOWN", 0))
+            row.append((value, status, origin, [(1, "e", method[0] if method else "NATIVE_TEXT")] * n))
+        conflicts = [(c, [SIGNAL, SIGNAL]) for c in fields.get("_conflicts", [])]
+        rows.append((*row, [], conflicts, fields.get("_error"), fields.get("_attempts", [])))
+    return spark.createDataFrame(rows, RECORD_SCHEMA)
+
+
 def record_frame(spark, fields, **extra):
-    """One record; fields: name -> (value, status, origin, n_sources[, method])."""
-    base = spark.range(1).select(F.lit("doc").alias("document_id"))
-    columns = {}
-    for name, _ in vocab.FIELDS:
-        value, status, origin, n, *method = fields.get(name, (None, "UNKNOWN", "UNKNOWN", 0))
-        source = f"named_struct('page', 1, 'evidence', 'e', 'extraction_method', '{method[0] if method else 'NATIVE_TEXT'}')"
-        sources = f"cast(array({', '.join([source] * n)}) as {SOURCES})"
-        text = "cast(null as string)" if value is None else "'" + value.replace("'", "\\'") + "'"
-        columns[name] = F.expr(
-            f"named_struct('value', {text}, 'status', '{status}', 'origin', '{origin}', 'sources', {sources})"
-        )
-    columns["classification_evidence"] = F.expr(f"cast(array() as {SIGNALS})")
-    columns["classification_conflicts"] = F.expr(f"cast(array() as {CONFLICTS})")
-    columns["error"] = F.expr("cast(null as string)")
-    return base.withColumns(columns).withColumns({k: F.expr(v) for k, v in extra.items()})
+    return records_frame(spark, {"doc": fields}).withColumns({k: F.expr(v) for k, v in extra.items()})
 
 
 def given(value, n=1, method="NATIVE_TEXT", status="EXTRACTED"):

@@ -1,7 +1,7 @@
 import itertools
 
 import pytest
-from helpers import given, golden_frame, jcp_fields, record_frame
+from helpers import given, golden_frame, jcp_fields, record_frame, records_frame
 from noticemill.operators import confidence, reconciliation as rc, routing, rules
 from noticemill.plans import pipeline
 from pyspark.sql import functions as F
@@ -13,73 +13,86 @@ REF = (
 )
 
 
-def results(spark, fields, group, **extra):
-    row = rules.coherence_results(record_frame(spark, fields, **extra), (group,)).first()
-    return [(v.rule, v.status, v.expected, v.observed) for v in row[f"validations_{group}"]]
-
-
-def test_dates_in_order_pass(spark):
-    assert [r[:2] for r in results(spark, jcp_fields(), "dates")] == [
+UNSET = (None, "UNKNOWN", "UNKNOWN", 0)
+BENEFICIARY = given("TAX_DEPENDS_ON_BENEFICIARY")
+OPEN = given(None, status="NOT_DISCLOSED")
+RULE_CASES = {
+    "good": jcp_fields(),
+    "late": jcp_fields(approval_date=given("2026-06-20"), ex_date=given("2026-06-16"), payment_date=given("2026-06-01")),
+    "open": jcp_fields(payment_date=OPEN),
+    "open split": jcp_fields(payment_date=OPEN, event_type=given("STOCK_SPLIT")),
+    "no event": jcp_fields(event_type=UNSET),
+    "edge": jcp_fields(net_amount_per_share=given("0.1434201500")),
+    "over": jcp_fields(net_amount_per_share=given("0.1434201501")),
+    "short": jcp_fields(gross_amount_per_share=given("0.173842"), net_amount_per_share=given("0.14341965")),
+    "ten": jcp_fields(gross_amount_per_share=given("2"), net_amount_per_share=given("1.8"), tax_rate_percent=given("10")),
+    "disclosed": jcp_fields(tax_treatment=BENEFICIARY),
+    "derived": jcp_fields(tax_treatment=BENEFICIARY, net_amount_per_share=("0.1434196500", "DERIVED", "DERIVED", 0)),
+    "ratio": jcp_fields(
+        currency=UNSET, net_amount_per_share=UNSET,
+        ratio=given('{"kind":"NEW_PER_EXISTING","numerator":"0","denominator":"1","percentage":null}')),
+    "missing": jcp_fields(ex_date=UNSET, currency=(None, "NOT_APPLICABLE", "UNKNOWN", 0)),
+    "conflict": jcp_fields(_conflicts=["title"]),
+}
+
+
+@pytest.fixture(scope="module")
+def results(spark):
+    rows = rules.coherence_results(records_frame(spark, RULE_CASES)).select(
+        "document_id", "validations_dates", "validations_financial", "validations_event").collect()
+    return {
+        (r.document_id, g): [(v.rule, v.status, v.expected, v.observed) for v in r[f"validations_{g}"]]
+        for r in rows for g in ("dates", "financial", "event")
+    }
+
+
+def test_dates_in_order_pass(results):
+    assert [r[:2] for r in results["good", "dates"]] == [
         ("DATE_APPROVAL_AFTER_RECORD", "PASS"), ("DATE_RECORD_NOT_BEFORE_EX", "PASS"), ("DATE_PAYMENT_BEFORE_RECORD", "PASS")]
 
 
-def test_dates_out_of_order_fail(spark):
-    fields = jcp_fields(approval_date=given("2026-06-20"), ex_date=given("2026-06-16"), payment_date=given("2026-06-01"))
-    got = results(spark, fields, "dates")
+def test_dates_out_of_order_fail(results):
+    got = results["late", "dates"]
     assert [r[1] for r in got] == ["FAIL"] * 3
     assert got[0][3] == "2026-06-20 > 2026-06-16" and got[1][3] == "2026-06-16 / 2026-06-16"
 
 
-def test_payment_date_rules_only_for_cash_events(spark):
-    open_ = given(None, status="NOT_DISCLOSED")
-    assert ("DATE_PAYMENT_NOT_DISCLOSED", "WARN") in [r[:2] for r in results(spark, jcp_fields(payment_date=open_), "dates")]
-    split = jcp_fields(payment_date=open_, event_type=given("STOCK_SPLIT"))
-    assert len(results(spark, split, "dates")) == 2
-    assert results(spark, jcp_fields(event_type=("x", "UNKNOWN", "UNKNOWN", 0)) | {"event_type": (None, "UNKNOWN", "UNKNOWN", 0)}, "dates") == []
+def test_payment_date_rules_only_for_cash_events(results):
+    assert ("DATE_PAYMENT_NOT_DISCLOSED", "WARN") in [r[:2] for r in results["open", "dates"]]
+    assert len(results["open split", "dates"]) == 2
+    assert results["no event", "dates"] == []
 
 
-@pytest.mark.parametrize("net,rule", [
-    ("0.1434196500", "FIN_GROSS_NET_TAX_CONSISTENT"),
-    ("0.1434201500", "FIN_GROSS_NET_TAX_CONSISTENT"),
-    ("0.1434201501", "FIN_GROSS_NET_TAX_MISMATCH"),
-])
-def test_money_tolerance_is_inclusive(spark, net, rule):
-    got = results(spark, jcp_fields(net_amount_per_share=given(net)), "financial")
-    assert got == [(rule, "PASS" if rule.endswith("CONSISTENT") else "FAIL", "0.1434196500000", net)]
+def test_money_tolerance_is_inclusive(results):
+    for case, rule, status in (("good", "CONSISTENT", "PASS"), ("edge", "CONSISTENT", "PASS"), ("over", "MISMATCH", "FAIL")):
+        got = results[case, "financial"]
+        assert [r[:3] for r in got] == [(f"FIN_GROSS_NET_TAX_{rule}", status, "0.1434196500000")]
 
 
-def test_expected_net_is_printed_with_its_own_scale(spark):
-    got = results(spark, jcp_fields(gross_amount_per_share=given("0.173842"), net_amount_per_share=given("0.14341965")), "financial")
-    assert got[0][2:] == ("0.143419650", "0.14341965")
-    ten = jcp_fields(gross_amount_per_share=given("2"), net_amount_per_share=given("1.8"), tax_rate_percent=given("10"))
-    assert results(spark, ten, "financial")[0][2] == "1.8"
+def test_expected_net_is_printed_with_its_own_scale(results):
+    assert results["short", "financial"][0][2:] == ("0.143419650", "0.14341965")
+    assert results["ten", "financial"][0][2] == "1.8"
 
 
-def test_beneficiary_tax(spark):
-    treatment = given("TAX_DEPENDS_ON_BENEFICIARY")
-    disclosed = [r[0] for r in results(spark, jcp_fields(tax_treatment=treatment), "financial")]
-    assert disclosed == ["FIN_TAX_DEPENDS_ON_BENEFICIARY", "FIN_TAX_CONDITIONAL_NET_DISCLOSED", "FIN_GROSS_NET_TAX_CONSISTENT"]
-    derived = ("0.1434196500", "DERIVED", "DERIVED", 0)
-    got = [r[:2] for r in results(spark, jcp_fields(tax_treatment=treatment, net_amount_per_share=derived), "financial")]
-    assert got == [("FIN_TAX_DEPENDS_ON_BENEFICIARY", "WARN"), ("FIN_UNIVERSAL_NET_NOT_APPLICABLE", "FAIL")]
+def test_beneficiary_tax(results):
+    assert [r[0] for r in results["disclosed", "financial"]] == [
+        "FIN_TAX_DEPENDS_ON_BENEFICIARY", "FIN_TAX_CONDITIONAL_NET_DISCLOSED", "FIN_GROSS_NET_TAX_CONSISTENT"]
+    assert [r[:2] for r in results["derived", "financial"]] == [
+        ("FIN_TAX_DEPENDS_ON_BENEFICIARY", "WARN"), ("FIN_UNIVERSAL_NET_NOT_APPLICABLE", "FAIL")]
 
 
-def test_currency_and_ratio(spark):
-    fields = jcp_fields(currency=(None, "UNKNOWN", "UNKNOWN", 0), net_amount_per_share=(None, "UNKNOWN", "UNKNOWN", 0),
-                        ratio=given('{"kind":"NEW_PER_EXISTING","numerator":"0","denominator":"1","percentage":null}'))
-    got = results(spark, fields, "financial")
+def test_currency_and_ratio(results):
+    got = results["ratio", "financial"]
     assert [r[0] for r in got] == ["FIN_CURRENCY_MISSING", "FIN_RATIO_INVALID"]
     assert got[1][3] == "0:1 (NEW_PER_EXISTING)"
 
 
-def test_event_rules(spark):
-    assert [r[0] for r in results(spark, {}, "event")] == ["EVENT_UNKNOWN"]
-    missing = jcp_fields(ex_date=(None, "UNKNOWN", "UNKNOWN", 0), currency=(None, "NOT_APPLICABLE", "UNKNOWN", 0))
-    got = results(spark, missing, "event")
+def test_event_rules(results):
+    assert [r[0] for r in results["no event", "event"]] == ["EVENT_UNKNOWN"]
+    got = results["missing", "event"]
     assert [r[0] for r in got] == ["EVENT_CLASSIFICATION_SUPPORTED", "EVENT_REQUIRED_FIELD_MISSING"]
     assert got[1][2] == "ex_date"
-    conflict = {"classification_conflicts": "array(named_struct('description', 'title', 'signals', classification_evidence))"}
-    assert results(spark, jcp_fields(), "event", **conflict)[0][3] == '["title"]'
+    assert results["conflict", "event"][0][3] == '["title"]'
 
 
 def test_rounding_of_every_quality_and_agreement(spark):
@@ -108,65 +121,71 @@ def test_field_confidence(spark):
     assert (r.listing_segment.confidence, r.share_class.confidence, r.ratio.confidence) == (95, 20, 0)
 
 
-def decided(spark, fields, **extra):
-    extra.setdefault("extraction_attempts", "cast(array() as array<struct<strategy:string,outcome:string,pass_number:int,"
-                     "model:string,unresolved_fields:array<string>,error:string>>)")
+EXHAUSTED = [("STRONG_LLM", "INSUFFICIENT", 1, None, ["x"], None)]
+CASES = {
+    "good": jcp_fields(),
+    "open": jcp_fields(payment_date=OPEN),
+    "late": jcp_fields(approval_date=given("2026-06-20")),
+    "exhausted": jcp_fields(ticker=given("ZZZZ3"), _attempts=EXHAUSTED),
+    "unknown": {"isin": given("BRALFAACNOR1")},
+    "failed": jcp_fields(_error="day is out of range for month"),
+    "inactive": jcp_fields(isin=given("BRGAMAACNOR3"), issuer_cnpj=given("11.111.111/0001-11"), ticker=given("GAMA3"),
+                           issuer_name=given("Gama Inativa S.A.")),
+}
+
+
+@pytest.fixture(scope="module")
+def decided(spark, tmp_path_factory):
     golden = rc.prepare_golden(golden_frame(spark))
-    return pipeline.decide(record_frame(spark, fields, **extra), golden).first()
+    records = pipeline.decide(records_frame(spark, CASES), golden)
+    return pipeline.store(records, str(tmp_path_factory.mktemp("records") / "t"))
 
 
-def test_complete_notice_is_accepted(spark):
-    r = decided(spark, jcp_fields())
+@pytest.fixture(scope="module")
+def rows(decided):
+    return {r.document_id: r for r in decided.collect()}
+
+
+def test_complete_notice_is_accepted(rows):
+    r = rows["good"]
     assert r.processing_status == "ACCEPTED" and r.exceptions == []
     assert r.document_confidence.score == 92 and r.document_confidence.missing_fields == []
 
 
-def test_open_payment_date_is_pending(spark):
-    r = decided(spark, jcp_fields(payment_date=given(None, status="NOT_DISCLOSED")))
-    assert r.processing_status == "PENDING_INFORMATION"
-    assert [e.code for e in r.exceptions] == ["PAYMENT_DATE_NOT_DISCLOSED"]
+def test_open_payment_date_is_pending(rows):
+    assert rows["open"].processing_status == "PENDING_INFORMATION"
+    assert [e.code for e in rows["open"].exceptions] == ["PAYMENT_DATE_NOT_DISCLOSED"]
 
 
-def test_date_failure_gives_rule_and_confidence_reasons(spark):
-    r = decided(spark, jcp_fields(approval_date=given("2026-06-20")))
-    assert [e.code for e in r.exceptions] == ["DATE_SEQUENCE_INCONSISTENT"] + ["CRITICAL_FIELD_CONFIDENCE_BELOW_THRESHOLD"] * 2
-    assert r.exceptions[1].message == "Critical field confidence is below 75%: dates.approval_date (15%)."
+def test_date_failure_gives_rule_and_confidence_reasons(rows):
+    got = rows["late"].exceptions
+    assert [e.code for e in got] == ["DATE_SEQUENCE_INCONSISTENT"] + ["CRITICAL_FIELD_CONFIDENCE_BELOW_THRESHOLD"] * 2
+    assert got[1].message == "Critical field confidence is below 75%: dates.approval_date (15%)."
 
 
-def test_exhausted_attempts_conflict_and_unknown_event(spark):
-    attempts = ("array(named_struct('strategy', 'STRONG_LLM', 'outcome', 'INSUFFICIENT', 'pass_number', 1, 'model', "
-                "cast(null as string), 'unresolved_fields', array('x'), 'error', cast(null as string)))")
-    r = decided(spark, jcp_fields(ticker=given("ZZZZ3")), extraction_attempts=attempts)
-    codes = [e.code for e in r.exceptions]
+def test_exhausted_attempts_conflict_and_unknown_event(rows):
+    codes = [e.code for e in rows["exhausted"].exceptions]
     assert codes[:2] == ["EXTRACTION_CASCADE_EXHAUSTED", "REFERENCE_IDENTIFIER_CONFLICT"]
-    unknown = decided(spark, {"isin": given("BRALFAACNOR1")})
-    assert unknown.processing_status == "REVIEW_REQUIRED"
-    assert unknown.exceptions[0].code == "EVENT_CLASSIFICATION_AMBIGUOUS"
+    assert rows["unknown"].processing_status == "REVIEW_REQUIRED"
+    assert rows["unknown"].exceptions[0].code == "EVENT_CLASSIFICATION_AMBIGUOUS"
 
 
-def test_technical_failure(spark):
-    r = decided(spark, jcp_fields(), error="'day is out of range for month'")
-    assert r.processing_status == "FAILED"
-    assert [(e.code, e.category) for e in r.exceptions] == [("PROCESSING_FAILED", "TECHNICAL_ERROR")]
+def test_technical_failure(rows):
+    assert rows["failed"].processing_status == "FAILED"
+    assert [(e.code, e.category) for e in rows["failed"].exceptions] == [("PROCESSING_FAILED", "TECHNICAL_ERROR")]
 
 
-def test_inactive_asset_is_a_rule_without_a_reason(spark):
-    fields = jcp_fields(isin=given("BRGAMAACNOR3"), issuer_cnpj=given("11.111.111/0001-11"), ticker=given("GAMA3"),
-                        issuer_name=given("Gama Inativa S.A."))
-    r = decided(spark, fields)
-    assert "REF_ASSET_INACTIVE" in [v.rule for v in r.validations]
-    assert r.processing_status == "ACCEPTED" and r.asset_status.confidence == 15
+def test_inactive_asset_is_a_rule_without_a_reason(rows):
+    assert "REF_ASSET_INACTIVE" in [v.rule for v in rows["inactive"].validations]
+    assert rows["inactive"].processing_status == "ACCEPTED" and rows["inactive"].asset_status.confidence == 15
 
 
-def test_approval_only_for_reviews(spark):
-    golden = rc.prepare_golden(golden_frame(spark))
-    attempts = {"extraction_attempts": "cast(array() as array<struct<strategy:string,outcome:string,pass_number:int,"
-                "model:string,unresolved_fields:array<string>,error:string>>)"}
-    review = pipeline.decide(record_frame(spark, jcp_fields(ticker=given("ZZZZ3")), **attempts), golden)
-    approvals = spark.createDataFrame([("doc",), ("nope",)], "document_id string").withColumn("approved_at", F.current_timestamp())
-    updated, refused = routing.apply_approvals(review, approvals)
-    r = updated.first()
+def test_approval_only_for_reviews(spark, decided):
+    ids = [("exhausted",), ("good",), ("nope",)]
+    approvals = spark.createDataFrame(ids, "document_id string").withColumn("approved_at", F.current_timestamp())
+    updated, refused = routing.apply_approvals(decided, approvals)
+    r = updated.where("document_id = 'exhausted'").first()
     assert r.processing_status == "ACCEPTED" and r.manual_review.approved and not r.review.required
     assert r.manual_review.previous_status == "REVIEW_REQUIRED"
     assert r.manual_review.acknowledged_reasons == r.review.reasons and r.exceptions
-    assert [x.document_id for x in refused.collect()] == ["nope"]
+    assert sorted(x.document_id for x in refused.collect()) == ["good", "nope"]
