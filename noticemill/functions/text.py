@@ -1,10 +1,10 @@
 """Accent folding and the identity normalisers, as column expressions.
 
 Spark has no compatibility decomposition, so the folding tables are generated
-from the Unicode database by rule.  ASCII strings (the vast majority) skip the
-tables; strings whose characters all fold one-to-one go through ``translate``;
-only strings with a one-to-many character (ß, ﬁ, ½ ...) take the per-character
-path.  All branches are JVM expressions, and CASE evaluates only the taken one.
+from the Unicode database by rule.  ASCII strings skip the
+tables; western European ones use a short table; other strings whose characters
+all fold one-to-one use the long one; only strings with a one-to-many character
+(ß, ﬁ, ½ ...) take the per-character path.  All branches are JVM expressions, and CASE evaluates only the taken one.
 """
 
 from __future__ import annotations
@@ -24,18 +24,25 @@ def _without_marks(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
 
 
-def _code_points():
-    # Hangul syllables decompose into letters that no normaliser keeps.
+@lru_cache(maxsize=None)
+def _foldable() -> tuple[str, ...]:
+    """Code points that decompose, combine or have a folded case."""
+    found = []
     for cp in range(0x80, 0x110000):
-        if not (0xAC00 <= cp <= 0xD7A3 or 0xD800 <= cp <= 0xDFFF):
-            yield chr(cp)
+        # Hangul syllables decompose into letters that no normaliser keeps.
+        if 0xAC00 <= cp <= 0xD7A3 or 0xD800 <= cp <= 0xDFFF:
+            continue
+        char = chr(cp)
+        if unicodedata.decomposition(char) or unicodedata.combining(char) or char.casefold() != char:
+            found.append(char)
+    return tuple(found)
 
 
 @lru_cache(maxsize=None)
 def _tables(casefold: bool, to_ascii_only: bool):
     """(single from, single to, removed, multi) for the requested folding."""
     source, target, removed, multi = [], [], [], {}
-    for char in _code_points():
+    for char in _foldable():
         folded = _without_marks(char)
         if casefold:
             folded = folded.casefold()
@@ -53,6 +60,16 @@ def _tables(casefold: bool, to_ascii_only: bool):
     return "".join(source) + "".join(removed), "".join(target), multi
 
 
+@lru_cache(maxsize=None)
+def _latin_tables(casefold: bool, to_ascii_only: bool) -> tuple[str, str, str]:
+    """The part of the tables western European text needs: (from, to, class of
+    everything else)."""
+    source, target, multi = _tables(casefold, to_ascii_only)
+    pairs = [(s, t) for s, t in zip(source, target) if s < "\u0100"]
+    others = "".join(f"\\x{{{cp:x}}}" for cp in range(0x80, 0x100) if chr(cp) in multi)
+    return "".join(s for s, _ in pairs), "".join(t for _, t in pairs), f"[^\\x00-\\xff]|[{others}]"
+
+
 @lru_cache(maxsize=None)
 def _multi_class(casefold: bool, to_ascii_only: bool) -> str:
     """Character class of the one-to-many code points, as \\x{...} ranges."""
@@ -77,8 +94,10 @@ def _fold(col: Column, casefold: bool, to_ascii_only: bool) -> Column:
     expanded = F.array_join(
         F.transform(F.split(col, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), ""
     )
+    latin_source, latin_target, beyond_latin = _latin_tables(casefold, to_ascii_only)
     return (
         F.when(~col.rlike(_NON_ASCII), col)
+        .when(~col.rlike(beyond_latin), F.translate(col, latin_source, latin_target))
         .when(~col.rlike(_multi_class(casefold, to_ascii_only)), one_to_one)
         .otherwise(F.translate(expanded, source, target))
     )
