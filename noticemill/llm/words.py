@@ -15,6 +15,8 @@ import pyarrow.compute as pc
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
+PUNCTUATION = np.zeros(256, bool)
+PUNCTUATION[list(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 PLUS_ONE = np.arange(1, 257, dtype=np.uint64)
@@ -66,6 +68,21 @@ class Words:
     def hashes(self, lower: bool = True) -> np.ndarray:
         return span_hashes(self.data, self.starts, self.ends, lower)
 
+    def trimmed(self) -> Words:
+        """The same words without ASCII punctuation at either end; a word of nothing else becomes empty."""
+        starts, ends = self.starts.copy(), self.ends.copy()
+        left = np.arange(len(starts))
+        while len(left):
+            left = left[(ends[left] > starts[left])]
+            left = left[PUNCTUATION[self.data[ends[left] - 1]]]
+            ends[left] -= 1
+        left = np.arange(len(starts))
+        while len(left):
+            left = left[(ends[left] > starts[left])]
+            left = left[PUNCTUATION[self.data[starts[left]]]]
+            starts[left] += 1
+        return Words(self.data, starts, ends, self.first)
+
     def text(self, word: int) -> str:
         return self.data[self.starts[word]:self.ends[word]].tobytes().decode("utf-8", "replace")
 
