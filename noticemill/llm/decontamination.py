@@ -120,9 +120,9 @@ def _document_frequency(docs: DataFrame, row: np.ndarray, size: int) -> tuple[np
         yield pa.record_batch([pa.array(seen), pa.array(total[seen])], ["row", "n"])
 
     # One row per word of the benchmark, at most 2**BITS, comes back.
-    found = docs.select("text").mapInArrow(count, "row long, n long").groupBy("row").agg(F.sum("n").alias("n")).toPandas()
+    found = docs.select("text").mapInArrow(count, "row long, n long").groupBy("row").agg(F.sum("n").alias("n")).toArrow()
     frequency = np.zeros(size + 1, np.int64)
-    frequency[found.row.to_numpy(np.int64)] = found.n.to_numpy(np.int64)
+    frequency[found["row"].to_numpy()] = found["n"].to_numpy()
     return frequency[:size], int(frequency[size])
 
 
@@ -167,9 +167,9 @@ def randomised_svd(entries: DataFrame, rank: int, seed: int, power: int = POWER)
                 yield pd.DataFrame({"key": keys, "sums": list(total)})
 
         sums = entries.mapInPandas(partial, "key long, sums array<double>").select("key", F.posexplode("sums"))
-        rows = sums.groupBy("key", "pos").agg(F.sum("col").alias("value")).toPandas()
+        rows = sums.groupBy("key", "pos").agg(F.sum("col").alias("value")).toArrow()
         out = np.zeros((size, factor.shape[1]))
-        out[rows.key.to_numpy(), rows.pos.to_numpy()] = rows.value.to_numpy()
+        out[rows["key"].to_numpy(), rows["pos"].to_numpy()] = rows["value"].to_numpy()
         return out
 
     start = np.random.default_rng(seed).standard_normal((words, min(rank + OVERSAMPLE, words, passages)))

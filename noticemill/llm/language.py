@@ -195,9 +195,9 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS, seed: int = 13) -> Model:
     texts = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(sample), "doc_id")
     texts = texts.withColumn("stream", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.lit(LEARNERS)))
     learnt = texts.repartition(LEARNERS, "stream").select("doc_id", "text", "label").mapInArrow(learner, "place long, value double")
-    found = learnt.groupBy("place").agg(F.sum("value").alias("value"), F.count("*").alias("votes")).toPandas()
-    votes = max(1, int(found.votes.max())) if len(found) else 1
-    place, value = found.place.to_numpy(np.int64), found.value.to_numpy() / votes
+    found = learnt.groupBy("place").agg(F.sum("value").alias("value"), F.count("*").alias("votes")).toArrow()
+    votes = max(1, int(found["votes"].to_numpy().max())) if found.num_rows else 1
+    place, value = found["place"].to_numpy(), found["value"].to_numpy() / votes
     emission = np.zeros((1 << BITS) * size, np.float32)
     emission[place[place >= 0]] = value[place >= 0]
     rest = np.zeros(size * size + size)

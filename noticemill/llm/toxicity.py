@@ -102,15 +102,15 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, bits: int
     texts = texts.withColumn("stream", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.lit(streams)))
     learnt = texts.repartition(streams, "stream").select("doc_id", "text", "label").mapInArrow(learner, "feature long, weight double")
     # A learner that never met a feature votes 0; the bias, met by all, says how many learners there are.
-    total = learnt.groupBy("feature").agg(F.sum("weight").alias("weight"), F.count("*").alias("votes")).toPandas()
+    total = learnt.groupBy("feature").agg(F.sum("weight").alias("weight"), F.count("*").alias("votes")).toArrow()
     weights = np.zeros(1 << bits, np.float32)
-    bias = total[total.feature == -1]
-    if not len(bias):
+    feature, weight, votes = (total[c].to_numpy() for c in ("feature", "weight", "votes"))
+    bias = feature == -1
+    if not bias.any():
         return Model(0.0, weights)
-    learners = int(bias.votes.iloc[0])
-    rest = total[total.feature >= 0]
-    weights[rest.feature.to_numpy()] = rest.weight.to_numpy() / learners
-    return Model(float(bias.weight.iloc[0]) / learners, weights)
+    learners = int(votes[bias][0])
+    weights[feature[~bias]] = weight[~bias] / learners
+    return Model(float(weight[bias][0]) / learners, weights)
 
 
 def score_texts(column: pa.Array, model: Model) -> np.ndarray:
