@@ -34,7 +34,7 @@ LEAF = 32
 BUCKET_ROWS = 4096
 # Ids of documents whose texts are verified are broadcast up to so many (about 100 MB), and joined by a shuffle beyond.
 MOST_BROADCAST = 2_000_000
-TAG = "__noticemill_set"
+TAG, GONE_ID, GONE_SET, STAYS = "__noticemill_set", "__noticemill_gone_id", "__noticemill_gone_set", "__noticemill_stays"
 
 
 # ---- sizes, groups and bounds ------------------------------------------------------------------------------------
@@ -396,16 +396,16 @@ def keep_one(docs: DataFrame) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "f")
     best = groups.groupBy("root").agg(F.min(order).alias("best"))
     ranked = groups.join(best, "root").withColumn("stays", order == F.col("best"))
-    listed = ranked.where("not stays or rows > 1").select(F.col("doc_id").alias("gone_id"), F.col("f").alias("gone_f"), "stays")
+    listed = ranked.where("not stays or rows > 1").select(F.col("doc_id").alias(GONE_ID), F.col("f").alias(GONE_SET), F.col("stays").alias(STAYS))
     listed, _ = stage(listed, "listed")
 
     def side(rows: DataFrame) -> DataFrame:
         return F.broadcast(rows) if rows.count() <= MOST_BROADCAST else rows
 
     tagged = _tagged(docs)
-    same = F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col(TAG) == F.col("gone_f"))
+    same = F.col("doc_id").eqNullSafe(F.col(GONE_ID)) & (F.col(TAG) == F.col(GONE_SET))
     kept = tagged.join(side(listed), same, "left_anti")
-    repeated = listed.where("stays")
+    repeated = listed.where(F.col(STAYS))
     if not repeated.isEmpty():
         kept = kept.unionAll(tagged.join(side(repeated), same, "left_semi").dropDuplicates(["doc_id", TAG]))
     return kept.drop(TAG)

@@ -96,6 +96,24 @@ def redact(text: Column, spans: Column, mark: str = MARK) -> Column:
     return F.aggregate(spans, begin, step, lambda s: F.concat(s["out"], text.substr(s["at"] + 1, F.char_length(text))))
 
 
+def redact_documents(docs: DataFrame) -> DataFrame:
+    """All documents with every secret replaced by MARK; all columns stay, n_chars (if there is one) counts anew.
+
+    Documents are joined with their blob's findings by content. Only blobs with a finding are listed, and only they are
+    rewritten; null texts stay null.
+    """
+    _, ledger = scan(docs.select(F.col("doc_id").alias("path"), "text"))
+    hits = ledger.where((F.col("rule_version") == RULE_VERSION) & (F.size("spans") > 0)).select(
+        F.col("blob").alias("__noticemill_blob"), F.col("spans").alias("__noticemill_spans"))
+    joined_ = docs.join(hits, F.sha2("text", 256) == F.col("__noticemill_blob"), "left")
+    found = F.col("__noticemill_spans").isNotNull()
+    new = joined_.withColumn("__noticemill_text", F.when(found, redact(F.col("text"), F.col("__noticemill_spans"))).otherwise(F.col("text")))
+    out = {name: F.col(name) for name in docs.columns} | {"text": F.col("__noticemill_text")}
+    if "n_chars" in docs.columns:
+        out["n_chars"] = F.when(found, F.char_length("__noticemill_text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return new.select(*[column.alias(name) for name, column in out.items()])
+
+
 def joined(spans: Column) -> Column:
     """kind:start:end of every span, joined by commas."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
