@@ -222,7 +222,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, seed: int
     # The representative of each vector, found again by its value.
     keyed = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").alias("label"),
                            F.col("embedding").cast("array<double>").alias("vector"))
-    members = keyed.join(reps.select("label", "vector", "rep"), ["label", "vector"], "left").select("vec_id", "rep")
+    members = keyed.join(reps.select("label", "vector", "rep"), ["label", "vector"], "left").select(
+        "vec_id", F.when(F.col("vec_id").isNotNull(), F.col("rep")).alias("rep"))
     return members.join(of_rep, "rep", "left").select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("component", "vec_id").alias("component_id"),
