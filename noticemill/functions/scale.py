@@ -27,10 +27,14 @@ def salted_join(
     on: list[str],
     spread: list[str],
     how: str = "left",
-    salts: int = SALTS,
+    salts: int | None = None,
 ) -> DataFrame:
     """Join where many fact rows share a key: facts are salted by ``spread``
-    (columns that vary within a key) and each dim row is repeated per salt."""
+    (columns that vary within a key) and each dim row is repeated per salt.
+    By default the salts follow the shuffle partitions, an eighth of them: a
+    key with a third of the rows is then spread over tasks in that proportion."""
+    if salts is None:
+        salts = max(SALTS, int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8)
     salted_facts = facts.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
     salted_dim = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted_facts.join(salted_dim, on + ["_salt"], how).drop("_salt")

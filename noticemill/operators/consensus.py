@@ -35,10 +35,19 @@ _PRESENT = "(value is not null or status <> 'UNKNOWN')"
 
 
 def _plain_number(text: str) -> str:
-    """Number without sign of scale: '0.4200' and '.42' compare equal."""
-    digits = f"regexp_replace({text}, '^(-?)0+(?=[0-9])', '$1')"
+    """Number without sign of scale: '0.4200', '.42' and '42E-2' compare equal.
+
+    A power of ten is written out when the result has at most 18 digits on
+    either side of the point; beyond that the text stands for itself.
+    """
+    power = f"cast(regexp_extract({text}, '[eE]([+-]?[0-9]+)$', 1) as int)"
+    exact = f"abs({power}) <= 9 and length({text}) <= 12"
+    out = f"if({text} rlike '[eE]', if({exact}, cast(try_cast({text} as decimal(38,18)) as string), {text}), {text})"
+    whole = f"regexp_replace({out}, '^(-?)(?=[.])', '$10')"
+    digits = f"regexp_replace({whole}, '^(-?)0+(?=[0-9])', '$1')"
     short = f"if(contains({digits}, '.'), rtrim('.', rtrim('0', {digits})), {digits})"
-    return f"if({text} rlike '^-?[0-9]+([.][0-9]+)?$', {short}, {text})"
+    number = f"regexp_replace({short}, '^-0$', '0')"
+    return f"if({text} rlike '^-?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?$', {number}, {text})"
 
 
 def canonical_value(path: str = "path", value: str = "value") -> Column:

@@ -1,9 +1,10 @@
 """Identity reconciliation against the golden table.
 
-The golden side is measured once: below the broadcast bound every lookup is a
-map-side hash join without any shuffle; above it the notices are salted, since
-one issuer may own a large share of them.  Golden identifiers are unique (the
-loader checks), so no lookup can multiply rows.
+The golden side is normalised and written once, then measured: below the
+broadcast bound every lookup is a map-side hash join without any shuffle; above
+it the notices are salted, since one issuer may own a large share of them.
+Every lookup is grouped by its key, so none can multiply rows; a golden table
+whose identifiers repeat is refused.
 """
 
 from __future__ import annotations
@@ -17,7 +18,8 @@ from noticemill import vocab
 from noticemill.functions.scale import fits_broadcast, lookup_join
 from noticemill.functions.sqltext import compact, q
 from noticemill.functions.text import IDENTIFIER_NORMALIZERS, normalize_text
-from noticemill.sources.golden import UNIQUE_IDENTIFIERS
+from noticemill.session import scratch_path
+from noticemill.sources.golden import check_golden
 
 RECORD = "struct<" + ",".join(f"{c}:string" for c in vocab.GOLDEN_COLUMNS) + ">"
 CONFLICT = "struct<code:string,field:string,expected:string,observed:string>"
@@ -35,24 +37,29 @@ class Golden:
         key = f"n_{identifier}"
         hit = F.struct("position", "record", *[f"n_{i}" for i in vocab.IDENTIFIERS])
         known = self.rows.where(f"{key} is not null")
-        if identifier in UNIQUE_IDENTIFIERS:
-            return known.select(
-                F.col(key).alias(f"key_{identifier}"), F.lit(1).cast("long").alias(f"count_{identifier}"), hit.alias(f"hit_{identifier}")
-            )
         return known.groupBy(F.col(key).alias(f"key_{identifier}")).agg(
             F.count(F.lit(1)).alias(f"count_{identifier}"), F.min(hit).alias(f"hit_{identifier}")
         )
 
 
 def prepare_golden(golden: DataFrame, position: str = "position") -> Golden:
+    """Check, normalise and write the golden rows; repeated identifiers raise ValueError.
+
+    The rows are written to the shared folder, below and above the broadcast
+    bound alike: each lookup reads the same positions, even those of a
+    generated number, and nothing stays cached.
+    """
+    check_golden(golden)
     rows = golden.select(
         F.col(position).cast("long").alias("position"),
         F.struct(*[F.col(c) for c in vocab.GOLDEN_COLUMNS]).alias("record"),
         *[IDENTIFIER_NORMALIZERS[i](F.col(i)).alias(f"n_{i}") for i in vocab.IDENTIFIERS],
     )
-    small = fits_broadcast(golden)
-    # Below the bound the normalised rows are kept, as every lookup reads them.
-    return Golden(rows.coalesce(1).persist() if small else rows, small)
+    path = scratch_path(golden.sparkSession, "golden")
+    rows.write.parquet(path)
+    written = golden.sparkSession.read.schema(rows.schema).parquet(path)
+    # What a lookup broadcasts: records with all their normalised keys.
+    return Golden(written, fits_broadcast(written))
 
 
 def with_keys(records: DataFrame) -> DataFrame:

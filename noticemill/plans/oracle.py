@@ -70,7 +70,7 @@ O["safe_file_name"] = S(
      select k, file_name, trim(regexp_replace(regexp_replace(strip_accents(file_name), '\.[^.]+$', ''), '[^A-Za-z0-9._-]+', '_', 'g'), '._-') as stem
      from files)""", "golden", extra={"files": _f(samples.ISSUER_FILES)})
 O["unique_file_name"] = S(
-    r"""select seq, case when n = 1 then safe else regexp_replace(safe, '\.pdf$', '') || '_' || lpad(lower(to_hex(n - 1)), 8, '0') || '.pdf' end as stored_name
+    r"""select seq, case when n = 1 then safe else regexp_replace(safe, '\.pdf$', '') || '~' || lpad(lower(to_hex(n - 1)), 8, '0') || '.pdf' end as stored_name
      from (select seq, safe, row_number() over (partition by safe order by seq) as n from (select seq,
      trim(regexp_replace(regexp_replace(strip_accents(file_name), '\.[^.]+$', ''), '[^A-Za-z0-9._-]+', '_', 'g'), '._-') || '.pdf' as safe
      from checked where reject_reason is null))""", "uploads", extra={"checked": CHECKED})
@@ -146,7 +146,7 @@ O["get_document"] = S(
      where processing_state = 'COMPLETED' and latest_payload is not null)""", "registry")
 O["selection_dedup"] = S(
     """select cast(0 as integer) as part, seq, name, size from files where seq%3 = 0
-     union all select 1, seq, name, size from files i where seq%2 = 0 and (type = 'application/pdf' or lower(name) like '%.pdf')
+     union all select 1, seq, name, size from files i where (seq%3 <> 0 or seq%2 = 0) and (type = 'application/pdf' or lower(name) like '%.pdf')
      and not exists (select 1 from files c where c.seq%3 = 0 and c.name = i.name and c.size = i.size)""",
     "uploads", extra={"files": _f(samples.FILES)})
 _MERGED = """
@@ -501,7 +501,7 @@ O["attach_rules_to_fields"] = S(
 
 # -- confidence, routing, reporting
 O["field_confidence"] = S(
-    "select document_id, path, value, status, origin, confidence from fc where path <> 'corporate_action.financials.ratio'", "fc")
+    "select document_id, path, value, status, origin, confidence from fc", "fc")
 O["field_confidence_with_agreement"] = S(
     """select f.document_id, f.path, a.agreement as agent_agreement, cast(case when f.confidence in (0, 10, 15) or f.origin <> 'DOCUMENT' then f.confidence
       else round_even(f.confidence * 0.7::double + a.agreement * 0.3::double, 0) end as integer) as confidence

@@ -115,12 +115,14 @@ select *, {norm_issuer('issuer')} as n_issuer, {norm_cnpj('cnpj')} as n_cnpj, {n
 
 REF = f"""
 select n.*, gi.k as isin_k, gc.k as cnpj_k, gt.k as ticker_k, gn.k as issuer_k, gn.c as issuer_c,
- coalesce(gi.k, gc.k, gt.k, case when gn.c = 1 then gn.k end) as sel,
+ coalesce(case when gi.c = 1 then gi.k end, case when gc.c = 1 then gc.k end, case when gt.c = 1 then gt.k end,
+  case when gn.c = 1 then gn.k end) as sel,
  coalesce(gi.k <> gc.k, false) as strong_conflict
 from (select *, {norm_issuer('issuer')} as k_issuer, {norm_cnpj('e_cnpj')} as k_cnpj, {norm_code('e_isin')} as k_isin,
  {norm_code('e_ticker')} as k_ticker from notices) n
-left join ngolden gi on gi.n_isin = n.k_isin left join ngolden gc on gc.n_cnpj = n.k_cnpj
-left join ngolden gt on gt.n_ticker = n.k_ticker
+left join (select n_isin, min(k) as k, count(*) as c from ngolden group by n_isin) gi on gi.n_isin = n.k_isin
+left join (select n_cnpj, min(k) as k, count(*) as c from ngolden group by n_cnpj) gc on gc.n_cnpj = n.k_cnpj
+left join (select n_ticker, min(k) as k, count(*) as c from ngolden group by n_ticker) gt on gt.n_ticker = n.k_ticker
 left join (select n_issuer, min(k) as k, count(*) as c from ngolden group by n_issuer) gn on gn.n_issuer = n.k_issuer
 """
 

@@ -260,7 +260,8 @@ def _(spark, d):
 @query("selection_dedup")
 def _(spark, d):
     files = samples.files(spark, d)
-    merged, _ = admission.selection_dedup(files.where("seq % 3 = 0"), files.where("seq % 2 = 0"))
+    # Every file is current or incoming; some are both.
+    merged, _ = admission.selection_dedup(files.where("seq % 3 = 0"), files.where("seq % 3 <> 0 or seq % 2 = 0"))
     return merged.select(F.col("ord.part").alias("part"), F.col("ord.seq").alias("seq"), "name", "size")
 
 
@@ -700,8 +701,11 @@ def _(spark, d):
 
 @query("field_confidence")
 def _(spark, d):
-    return confidence.long_fields(scored(spark, d)).where("path <> 'corporate_action.financials.ratio'").select(
-        "document_id", "path", "value", "status", "origin", "confidence"
+    ratio = F.from_json("value", "kind string, numerator string, denominator string")
+    written = F.concat(ratio["numerator"], F.lit(":"), ratio["denominator"], F.lit(" ("), ratio["kind"], F.lit(")"))
+    value = F.when(F.col("path") == "corporate_action.financials.ratio", written).otherwise(F.col("value"))
+    return confidence.long_fields(scored(spark, d)).select(
+        "document_id", "path", value.alias("value"), "status", "origin", "confidence"
     )
 
 
@@ -822,8 +826,13 @@ def _(spark, d):
 
 
 def _stream(spark: SparkSession, d: str, table: str) -> DataFrame:
-    schema = spark.read.parquet(f"{d}/{table}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(d)
+    """A table as a stream: its part files if it is a folder, else the one file, some at a time."""
+    path = f"{d}/{table}.parquet"
+    reader = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", jobs.FILES_PER_BATCH)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory():
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", f"{table}.parquet").parquet(d)
 
 
 @query("stream_admission")

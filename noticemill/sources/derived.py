@@ -19,9 +19,10 @@ def _letter(e: str) -> str:
 
 
 def _code(k: str) -> str:
+    """Four letters, different for each of the first 26**4 keys."""
     return "concat({}, {}, {}, {})".format(
         _letter(f"{k}*7+3+cast(floor({k}/676) as bigint)"),
-        _letter(f"{k}*11+5"),
+        _letter(f"{k}*11+5+cast(floor({k}/17576) as bigint)"),
         _letter(f"cast(floor({k}/26) as bigint)+1"),
         _letter(k),
     )
@@ -34,15 +35,19 @@ def _dmy(d: str) -> str:
     )
 
 
+# Keys beyond the 26**4 codes, counted by the further characters of ISIN and ticker.
+_MORE = "cast(floor(s_suppkey/456976) as bigint)"
+# Every identifier holds all digits of the key: unique to 10**8 rows (CNPJ), 26**7 (ISIN), 48 x 26**4 (ticker).
 GOLDEN = f"""
 select s_suppkey as k,
  concat(case cast(s_suppkey%4 as int) when 0 then 'Energética ' when 1 then 'Companhia Siderúrgica '
    when 2 then 'Águas do ' else 'Logística ' end, {_code('s_suppkey')}, ' S.A.') as issuer,
- concat(lpad(cast((s_suppkey*37+11)%100 as string),2,'0'),'.',lpad(cast((s_suppkey*191+7)%1000 as string),3,'0'),
+ concat(lpad(cast((s_suppkey*37+11+cast(floor(s_suppkey/1000000) as bigint))%100 as string),2,'0'),'.',lpad(cast((s_suppkey*191+7+cast(floor(s_suppkey/1000) as bigint))%1000 as string),3,'0'),
    '.',lpad(cast(s_suppkey%1000 as string),3,'0'),'/0001-',lpad(cast((s_suppkey*53)%100 as string),2,'0')) as cnpj,
- concat('BR',{_code('s_suppkey')},'ACN',case when s_suppkey%3=0 then 'PR' else 'OR' end,
+ concat('BR',{_code('s_suppkey')},{_letter(_MORE)},{_letter(f'cast(floor({_MORE}/26) as bigint)+2')},
+   {_letter(f'cast(floor({_MORE}/676) as bigint)+13')},case when s_suppkey%3=0 then 'PR' else 'OR' end,
    cast(s_suppkey%10 as string)) as isin,
- concat({_code('s_suppkey')}, case when s_suppkey%3=0 then '4' else '3' end) as ticker,
+ concat({_code('s_suppkey')}, cast({_MORE}*2 + case when s_suppkey%3=0 then 4 else 3 end as string)) as ticker,
  case when s_suppkey%3=0 then 'PN' else 'ON' end as share_class,
  case cast(s_suppkey%4 as int) when 0 then 'Novo Mercado' when 1 then 'Nível 1' when 2 then 'Nível 2'
    else 'Tradicional' end as listing_segment,

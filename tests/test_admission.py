@@ -35,7 +35,14 @@ def test_names_stay_unique(spark, monkeypatch):
     monkeypatch.setattr(admission, "SEQ_BLOCK", 10)
     frame = spark.range(100).select(F.col("id").alias("seq"), F.lit("a.pdf").alias("safe_name"))
     names = [r.stored_name for r in admission.unique_names(frame).orderBy("seq").collect()]
-    assert names[0] == "a.pdf" and names[17] == "a_00000011.pdf" and len(set(names)) == 100
+    assert names[0] == "a.pdf" and names[17] == "a~00000011.pdf" and len(set(names)) == 100
+
+
+def test_generated_names_never_meet_uploaded_ones(spark):
+    uploads = spark.createDataFrame(
+        [(0, "a.pdf"), (1, "a.pdf"), (2, "a_00000001.pdf"), (3, "a~00000001.pdf"), (4, "a.pdf")], "seq long, file_name string")
+    names = [r.stored_name for r in admission.unique_names(admission.with_safe_names(uploads)).collect()]
+    assert len(set(names)) == 5
 
 
 REGISTRY = (
