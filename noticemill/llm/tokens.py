@@ -24,9 +24,9 @@ END = 2
 # Bits of each chunk; the last is large enough for what is left of a 32-bit id.
 WIDTHS = (8, 8, 16)
 RANK_BLOCK = 512
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 # Words a worker remembers with their ids. It is a memory only: a word not in it is encoded anew.
-MEMORY = 600_000
+MEMORY = 300_000
 
 FILE_SCHEMA = ("part int, block int, first long, doc_ids array<long>, nulls binary, starts array<long>, n_tokens long, "
                "level_sizes array<long>, chunks array<binary>, bitmaps array<binary>, ranks array<binary>")
@@ -140,10 +140,10 @@ def tokenize(column: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
         texts = [raw[starts[sample[k]]:ends[sample[k]]].decode("utf-8", "replace") for k in some]
         for k, e in zip(some, _worker["tokenizer"].encode_batch_fast(texts, add_special_tokens=False)):
             memory[keys[k]] = len(ids)
-            ids.append(np.array(e.ids, np.uint16 if max(e.ids, default=0) < 1 << 16 else np.uint32))
+            ids.append(np.array(e.ids, np.uint32).tobytes())
     own = [ids[memory[h]] for h in keys]
-    lengths = np.array([len(x) for x in own], np.int64)
-    flat = np.concatenate(own).astype(np.uint32) if own else np.zeros(0, np.uint32)
+    lengths = np.fromiter(map(len, own), np.int64, len(own)) // 4
+    flat = np.frombuffer(b"".join(own), np.uint32)
     begins = np.concatenate([[0], np.cumsum(lengths)])[:-1] if own else np.zeros(0, np.int64)
     # Ids of the words in order, with room for the end id after each text.
     count = lengths[place] if len(place) else np.zeros(0, np.int64)
