@@ -31,6 +31,7 @@ PERCENT = 80
 SMALL = 16
 STEP = 1.5
 LEAF = 32
+FEW = 32
 BUCKET_ROWS = 4096
 # Ids of documents whose texts are verified are broadcast up to so many (about 100 MB), and joined by a shuffle beyond.
 MOST_BROADCAST = 2_000_000
@@ -311,17 +312,33 @@ def _texts(docs: DataFrame, holders: DataFrame) -> DataFrame:
     return found.groupBy("f").agg(F.first("text").alias("text"))
 
 
+def _stars(members: DataFrame) -> DataFrame:
+    """Pairs (a, b) verified first: each set with the lead it shares most buckets with, and with its smallest lead.
+
+    Two a set at most, however large the group it belongs to.
+    """
+    shared = members.groupBy("lead", "f").agg(F.count("*").alias("times"))
+    best = shared.groupBy("f").agg(F.min("lead").alias("low"), F.max(F.struct("times", "lead")).alias("most"))
+    return best.select(F.explode(F.array_distinct(F.array("low", "most.lead"))).alias("a"), F.col("f").alias("b"))
+
+
 def _crossing(members: DataFrame, component: DataFrame, points: DataFrame) -> DataFrame:
-    """Pairs (a, b) that share a bucket, belong to different components so far, and pass the bounds of the tree.
+    """Pairs (a, b) that share a bucket, belong to different components so far, and may be links by size or the tree.
 
-    Buckets of one component, nearly all, go no further than a minimum and a maximum. A bucket of many sets is cut into chunks
-    and each pair of chunks is a task.
+    Buckets of one component, nearly all, go no further than a minimum and a maximum. The pairs of a small bucket are
+    listed at once, no more than FEW for each of its sets; a larger one is searched by its tree, cut into chunks if it
+    is large, each pair of chunks a task.
     """
     every = members.select("bucket", "f").unionAll(members.select("bucket", F.col("lead").alias("f")).distinct())
     every = every.join(component.withColumnRenamed("node", "f"), "f", "left").select("bucket", "f", F.coalesce("component", "f").alias("component"))
     mixed = every.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("rows"))
-    mixed = mixed.where("lo <> hi and rows > 2").select("bucket", F.ceil(F.col("rows") / BUCKET_ROWS).cast("int").alias("chunks"))
+    mixed = mixed.where("lo <> hi").select("bucket", "rows", F.ceil(F.col("rows") / BUCKET_ROWS).cast("int").alias("chunks"))
     left, _ = stage(every.join(mixed, "bucket"), "mixed")
+    few = left.where(F.col("rows") <= FEW).join(points.select("f", "n"), "f")
+    one, two = (few.select("bucket", F.col("f").alias(x), F.col("component").alias(f"p_{x}"), F.col("n").alias(f"n_{x}")) for x in ("a", "b"))
+    listed = one.join(two, "bucket").where(
+        f"a < b and p_a <> p_b and 100 * least(n_a, n_b) >= {PERCENT} * greatest(n_a, n_b)").select("a", "b")
+    left = left.where(F.col("rows") > FEW)
     dealt = left.withColumn("chunk", F.pmod(F.xxhash64("f"), F.col("chunks")).cast("int")).withColumn(
         "other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     dealt = dealt.select("bucket", F.least("chunk", "other").alias("x"), F.greatest("chunk", "other").alias("y"), "chunk", "f", "component")
@@ -337,31 +354,31 @@ def _crossing(members: DataFrame, component: DataFrame, points: DataFrame) -> Da
         f = frame["f"].to_numpy()
         return pd.DataFrame({"a": np.minimum(f[i], f[j]), "b": np.maximum(f[i], f[j])})
 
-    return dealt.groupBy("bucket", "x", "y").applyInPandas(search, "a long, b long").distinct()
+    return listed.unionAll(dealt.groupBy("bucket", "x", "y").applyInPandas(search, "a long, b long")).distinct()
 
 
 def similar_groups(docs: DataFrame) -> DataFrame:
     """Groups of documents joined by links. docs: doc_id, text; other columns are left behind.
 
     Returns doc_id, n (shingles), f (fingerprint of the set), root (fingerprint that names the group) and component
-    (smallest doc_id reachable by links), one row per input row. Documents of equal sets are one node, so copies cost nothing. First every set of a bucket is verified
-    against the bucket's first; components are formed; then only pairs of a bucket that are still in different
-    components are left to the tree and verified. So a group of near copies of any size takes a few links per document.
+    (smallest doc_id reachable by links), one row per input row. Documents of equal sets are one node, so copies cost nothing. First every set is verified against two
+    others it shares buckets with; components are formed; then all pairs of a bucket that are still in different
+    components are left to the bounds and verified. So a group of near copies of any size takes a few links per document.
     Texts without words are linked with nothing. Null ids: the component is the smallest id that is not null, if any.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     table, _ = stage(digests(rows), "digests")
     members, _ = stage(_members(_bucket_rows(rows)), "members")
     sets = table.where("n > 0").groupBy("f").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("counts").alias("counts"))
-    stars = members.select(F.col("lead").alias("a"), F.col("f").alias("b")).distinct()
-    touched = stars.select(F.col("a").alias("f")).unionAll(stars.select(F.col("b").alias("f"))).distinct()
+    stars, _ = stage(_stars(members), "stars")
+    touched = members.select("f").unionAll(members.select(F.col("lead").alias("f"))).distinct()
     points, _ = stage(sets.join(touched, "f"), "points")
     texts, _ = stage(_texts(rows, points.select("f", "doc_id")), "texts")
     points = points.select("f", "n", "counts")
     links, _ = stage(_verified(_bounded(stars, points), texts), "links")
     first = components(links)
     crossing, _ = stage(_crossing(members, first, points).join(stars, ["a", "b"], "left_anti"), "crossing")
-    more = _verified(crossing, texts)
+    more = _verified(_bounded(crossing, points), texts)
     node = components(links.unionAll(more)).withColumnRenamed("node", "f")
     placed = table.select("doc_id", "n", "f").join(node, "f", "left").withColumn("root", F.coalesce("component", "f"))
     smallest = placed.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
