@@ -7,6 +7,7 @@ found with one rank per level; nothing is decoded before it. A file row is one b
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -26,12 +27,12 @@ WIDTHS = (8, 8, 16)
 RANK_BLOCK = 512
 BLOCK_BYTES = 4 << 20
 # Words a worker remembers with their ids. It is a memory only: a word not in it is encoded anew.
-MEMORY = 300_000
+MEMORY = 600_000
 
-FILE_SCHEMA = ("part int, block int, first long, doc_ids array<long>, nulls binary, starts array<long>, n_tokens long, "
+FILE_SCHEMA = ("part int, block int, doc_ids array<long>, nulls binary, starts array<long>, n_tokens long, "
                "level_sizes array<long>, chunks array<binary>, bitmaps array<binary>, ranks array<binary>")
 ARROW_SCHEMA = pa.schema([
-    ("part", pa.int32()), ("block", pa.int32()), ("first", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("nulls", pa.binary()),
+    ("part", pa.int32()), ("block", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("nulls", pa.binary()),
     ("starts", pa.list_(pa.int64())), ("n_tokens", pa.int64()), ("level_sizes", pa.list_(pa.int64())), ("chunks", pa.list_(pa.binary())),
     ("bitmaps", pa.list_(pa.binary())), ("ranks", pa.list_(pa.binary())),
 ])
@@ -116,32 +117,41 @@ def _cut(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return out_starts, out_ends, first + more[first]
 
 
+def _encode(tokenizer, spans: list[str]) -> list[bytes]:
+    """Ids of each span as packed 32-bit numbers: one call for all, cut again by the tokens' places in the text."""
+    begins = np.concatenate([[0], np.cumsum([len(x) + 1 for x in spans])])
+    found = tokenizer.encode(" ".join(spans), add_special_tokens=False)
+    at = np.fromiter((a for a, _ in found.offsets), np.int64, len(found.ids))
+    cuts = (np.searchsorted(at, begins) * 4).tolist()
+    packed = np.array(found.ids, np.uint32).tobytes()
+    return [packed[a:b] for a, b in zip(cuts, cuts[1:])]
+
+
 def tokenize(column: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts, each with the end id after it, and the place where each text begins.
 
     Every distinct span is encoded once by the tokenizer and remembered by its hash.
     """
+    # Spark has a task on every core; threads of the library's own would only compete with them.
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     if _worker.get("path") != path:
-        _worker.update(path=path, tokenizer=Tokenizer.from_file(path), memory={}, ids=[], lengths=[])
+        _worker.update(path=path, tokenizer=Tokenizer.from_file(path), memory={})
     words = split_words(column)
     starts, ends, first = _cut(words)
     distinct, sample, place = np.unique(span_hashes(words.data, starts, ends, lower=False), return_index=True, return_inverse=True)
-    memory, ids = _worker["memory"], _worker["ids"]
+    memory = _worker["memory"]
     if len(memory) + len(distinct) > MEMORY:
         memory.clear()
-        ids.clear()
     keys = distinct.tolist()
     new = [k for k, h in enumerate(keys) if h not in memory]
     raw = words.data.tobytes()
     for a in range(0, len(new), 20_000):
         some = new[a:a + 20_000]
         texts = [raw[starts[sample[k]]:ends[sample[k]]].decode("utf-8", "replace") for k in some]
-        for k, e in zip(some, _worker["tokenizer"].encode_batch_fast(texts, add_special_tokens=False)):
-            memory[keys[k]] = len(ids)
-            ids.append(np.array(e.ids, np.uint32).tobytes())
-    own = [ids[memory[h]] for h in keys]
+        memory.update(zip((keys[k] for k in some), _encode(_worker["tokenizer"], texts)))
+    own = [memory[h] for h in keys]
     lengths = np.fromiter(map(len, own), np.int64, len(own)) // 4
     flat = np.frombuffer(b"".join(own), np.uint32)
     begins = np.concatenate([[0], np.cumsum(lengths)])[:-1] if own else np.zeros(0, np.int64)
@@ -165,8 +175,7 @@ def write_tokens(docs: DataFrame, tokenizer: str) -> DataFrame:
 
     Rows are dealt to tasks by ranges of (doc_id, hash of the text), so copies of one id are spread too; null ids come
     first and repeated rows are kept. Null text is empty: its only token is the end id. A block has about BLOCK_BYTES of
-    text, or one text that is longer. `first` is the number of ids in all blocks before it: sums per task come first,
-    then sums over the tasks, whose number does not grow with the rows.
+    text, or one text that is longer.
     """
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("mark"))
     ordered = keyed.repartitionByRange("doc_id", "mark").sortWithinPartitions("doc_id", "mark", "text").drop("mark")
@@ -178,19 +187,25 @@ def write_tokens(docs: DataFrame, tokenizer: str) -> DataFrame:
                 ids, begins = tokenize(rows.column("text"), tokenizer)
                 keys = rows.column("doc_id")
                 row = encode(ids) | {
-                    "part": part, "block": block, "first": 0, "doc_ids": pc.fill_null(keys, 0).to_pylist(),
+                    "part": part, "block": block, "doc_ids": pc.fill_null(keys, 0).to_pylist(),
                     "nulls": np.packbits(pc.is_null(keys).to_numpy(zero_copy_only=False)).tobytes(), "starts": begins.tolist()}
                 yield pa.RecordBatch.from_pylist([row], ARROW_SCHEMA)
                 block += 1
 
-    written, _ = stage(ordered.mapInArrow(run, FILE_SCHEMA).drop("first"), "tokens")
-    sizes = written.select("part", "block", "n_tokens")
+    return stage(ordered.mapInArrow(run, FILE_SCHEMA), "tokens")[0]
+
+
+def block_starts(blocks: DataFrame) -> DataFrame:
+    """part, block and first, the number of ids in all blocks before it.
+
+    Only sizes are read. Sums within a task come first, then sums over the tasks, whose number does not grow with the rows.
+    """
+    sizes = blocks.select("part", "block", "n_tokens")
     within = Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     over = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = sizes.groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", F.coalesce(F.sum("n").over(over), F.lit(0)).alias("base"))
-    firsts = sizes.withColumn("offset", F.coalesce(F.sum("n_tokens").over(within), F.lit(0))).join(parts, "part")
-    firsts = firsts.select("part", "block", (F.col("base") + F.col("offset")).cast("long").alias("first"))
-    return written.join(firsts, ["part", "block"])
+    own = sizes.withColumn("within", F.coalesce(F.sum("n_tokens").over(within), F.lit(0)))
+    return own.join(parts, "part").select("part", "block", "n_tokens", (F.col("base") + F.col("within")).cast("long").alias("first"))
 
 
 def read_tokens(blocks: DataFrame) -> DataFrame:
@@ -198,24 +213,28 @@ def read_tokens(blocks: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                ids, begins = decode(row).astype("<u4"), row["starts"]
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
+                ids, begins = decode(row).astype("<u4"), np.array(row["starts"], np.int64)
                 null = np.unpackbits(np.frombuffer(row["nulls"], np.uint8), count=len(row["doc_ids"]))
-                keys = pa.array(row["doc_ids"], pa.int64(), mask=null.astype(bool))
+                n = len(row["doc_ids"])
                 sums = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(begins, begins[1:])]
-                yield pa.record_batch([keys, pa.array([row["first"] + a for a in begins[:-1]], pa.int64()),
-                                       pa.array(np.diff(begins), pa.int64()), pa.array(sums, pa.int64())],
-                                      ["doc_id", "start", "n_tokens", "ids_crc32"])
+                yield pa.record_batch([pa.array(row["doc_ids"], pa.int64(), mask=null.astype(bool)), pa.array(np.full(n, row["part"], np.int32)),
+                                       pa.array(np.full(n, row["block"], np.int32)), pa.array(begins[:-1]), pa.array(np.diff(begins)),
+                                       pa.array(sums, pa.int64())], ["doc_id", "part", "block", "within", "n_tokens", "ids_crc32"])
 
-    return blocks.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    found = blocks.mapInArrow(run, "doc_id long, part int, block int, within long, n_tokens long, ids_crc32 long")
+    return found.join(block_starts(blocks).select("part", "block", "first"), ["part", "block"]).select(
+        "doc_id", (F.col("first") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def token_at(blocks: DataFrame, position: int) -> int:
     """The id at a position of the whole corpus: one block is read, nothing in it decoded but the one id."""
-    row = blocks.where((F.col("first") <= position) & (F.col("first") + F.col("n_tokens") > position)).first()
-    if row is None:
+    at = block_starts(blocks).where((F.col("first") <= position) & (F.col("first") + F.col("n_tokens") > position)).first()
+    if at is None:
         raise IndexError(position)
-    return access(row.asDict(), position - row["first"])
+    row = blocks.where((F.col("part") == at["part"]) & (F.col("block") == at["block"])).first()
+    return access(row.asDict(), position - at["first"])
 
 
 def token_digest(docs: DataFrame, tokenizer: str) -> DataFrame:
