@@ -27,7 +27,7 @@ RANK, OVERSAMPLE, POWER = 128, 16, 2
 BLOCK_ITEMS = 20_000
 # A candidate: cosine in the latent space, and the share of the benchmark passage's own length that the document's
 # passage has in its direction. The second is 1 or more for a passage held whole, whatever stands around it.
-COSINE, MASS = 0.25, 0.45
+COSINE, MASS = 0.2, 0.3
 # Share of a benchmark text's words that must stand in the passage in order, alone and with the answer found whole.
 LCS_ALONE, LCS_WITH_ANSWER = 0.75, 0.6
 SHORTEST = 6
