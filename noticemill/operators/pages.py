@@ -111,7 +111,12 @@ def slice_pages(
     with ``error``.
     """
     last = F.lit(end) if end else F.col("page_count")
-    counts = pages.groupBy("document_id").agg(F.max("page_number").alias("page_count")).withColumn("_end", last)
+    asked = (F.col("page_number") >= start) & (F.lit(end == 0) | (F.col("page_number") <= end))
+    chars = F.when(asked, F.length("text"))
+    # Without an end the last page is the document's own last one.
+    upto = F.sum(F.when(F.col("page_number") < end, chars)) if end else F.sum(chars) - F.coalesce(F.max_by(chars, "page_number"), F.lit(0))
+    counts = pages.groupBy("document_id").agg(
+        F.max("page_number").alias("page_count"), F.sum(chars).alias("_all"), upto.alias("_earlier")).withColumn("_end", last)
     bad_page = F.when(~F.lit(start).between(1, F.col("page_count")), F.lit(start)).when(
         ~F.col("_end").between(1, F.col("page_count")), F.col("_end")
     )
@@ -120,18 +125,13 @@ def slice_pages(
         F.concat(F.lit("Página "), bad_page, F.lit(" inválida; o PDF possui "), F.col("page_count"), F.lit(" página(s)")),
     ).when(F.col("_end") < start, F.lit("page_end deve ser maior ou igual a page_start"))
     counts = counts.withColumn("error", message)
-    wanted = pages.where((F.col("page_number") >= start) & (F.lit(end == 0) | (F.col("page_number") <= end)))
+    wanted = pages.where(asked)
     sized = wanted.select("document_id", "page_number", "text", F.length("text").alias("_len"))
     spent = running_total(
         sized, ["document_id"], ["page_number"], block_of(F.col("page_number"), PAGE_BLOCK), F.col("_len"), "_before",
         exclusive=True,
     )
-    totals = sized.join(counts, "document_id").groupBy("document_id").agg(
-        F.sum("_len").alias("_all"), F.sum(F.when(F.col("page_number") < F.col("_end"), F.col("_len"))).alias("_earlier")
-    )
-    flags = counts.join(totals, "document_id", "left").withColumn(
-        "truncated", F.expr(f"coalesce(_all > {budget} or _earlier >= {budget}, false)")
-    )
+    flags = counts.withColumn("truncated", F.expr(f"coalesce(_all > {budget} or _earlier >= {budget}, false)"))
     kept = spent.where(F.col("_before") < budget).select(
         "document_id", "page_number", F.expr(f"substr(text, 1, {budget} - _before)").alias("text")
     )

@@ -119,15 +119,16 @@ from {fields}
 """.replace("DMY2", derived._dmy("pay")).replace("DMY", derived._dmy("rec"))
 
 EVIDENCE = """
-select cast(f.k as string) as document_id, 'security.isin' as path, g.isin as value, 1 as page1,
-  case when f.k%7=0 then concat(g.isin, 'X') else g.isin end as evidence1, 2 as page2, g.isin as evidence2
- from {fields} f join {golden} g on f.gk=g.k
-union all select cast(f.k as string), 'security.ticker', g.ticker, 1, concat('  ', lower(g.ticker)), null, null
- from {fields} f join {golden} g on f.gk=g.k
-union all select cast(f.k as string), 'issuer.name', g.issuer, 1, g.issuer, case when f.k%11=0 then 1 end,
-  case when f.k%11=0 then 'CNPJ/ME' end from {fields} f join {golden} g on f.gk=g.k
-union all select cast(f.k as string), 'security.share_class', null, null, null, null, null
- from {fields} f join {golden} g on f.gk=g.k
+select cast(k as string) as document_id,
+ case i when 1 then 'security.isin' when 2 then 'security.ticker' when 3 then 'issuer.name' else 'security.share_class' end as path,
+ case i when 1 then isin when 2 then ticker when 3 then issuer end as value,
+ case when i<4 then 1 end as page1,
+ case i when 1 then (case when k%7=0 then concat(isin, 'X') else isin end) when 2 then concat('  ', lower(ticker))
+  when 3 then issuer end as evidence1,
+ case when i=1 then 2 when i=3 and k%11=0 then 1 end as page2,
+ case when i=1 then isin when i=3 and k%11=0 then 'CNPJ/ME' end as evidence2
+from (select f.k, g.isin, g.ticker, g.issuer from {fields} f join {golden} g on f.gk=g.k) w
+cross join (select 1 as i union all select 2 union all select 3 union all select 4) t
 """
 
 CONFLICT_SIGNALS = """

@@ -94,12 +94,13 @@ from {{fields}} f join {{golden}} g on f.gk=g.k
 PASSES = """
 with w as (select f.k, f.ev, g.ticker, g.isin, cast(f.rec as string) as rec, cast(f.pay as string) as pay,
    cast(f.g6 as string) as g6 from {fields} f join {golden} g on f.gk=g.k),
- l as (select k,1 as pidx,'corporate_action.event_type' as path, ev as v from w
-  union all select k,2,'security.ticker',ticker from w
-  union all select k,3,'security.isin',isin from w
-  union all select k,4,'corporate_action.dates.record_date',rec from w
-  union all select k,5,'corporate_action.dates.payment_date',pay from w
-  union all select k,6,'corporate_action.financials.gross_amount_per_share',g6 from w),
+ i as (select 1 as pidx union all select 2 union all select 3 union all select 4 union all select 5 union all select 6),
+ l as (select k, pidx,
+   case pidx when 1 then 'corporate_action.event_type' when 2 then 'security.ticker' when 3 then 'security.isin'
+    when 4 then 'corporate_action.dates.record_date' when 5 then 'corporate_action.dates.payment_date'
+    else 'corporate_action.financials.gross_amount_per_share' end as path,
+   case pidx when 1 then ev when 2 then ticker when 3 then isin when 4 then rec when 5 then pay else g6 end as v
+  from w cross join i),
  p as (select 1 as pass_no union all select 2 union all select 3)
 select k,pidx,path,pass_no,
  case when (k*3+pass_no*7+pidx)%13=0 then null when (k*5+pass_no*11+pidx)%17=0 then concat('X',v)
