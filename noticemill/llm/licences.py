@@ -59,14 +59,15 @@ def _counted(units: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def match_notices(notices: DataFrame) -> DataFrame:
-    """Best template of each distinct notice: notice, licence, cosine. notices: notice, n (times it stands in the corpus).
+    """Best template of each distinct notice: id, licence, cosine. notices: id, notice, n (times it stands in the corpus).
 
+    Only ids travel with the terms; a notice may be a whole licence file.
     Document frequencies count every notice of the corpus, as often as it stands there, and every template once.
     """
     templates = _templates(notices.sparkSession)
-    mine = _counted(notices, "notice", "notice")
+    mine = _counted(notices, "id", "notice")
     theirs = _counted(templates, "template", "notice")
-    seen = mine.join(notices, "notice").groupBy("term").agg(F.sum("n").alias("n"))
+    seen = mine.join(notices.select("id", "n"), "id").groupBy("term").agg(F.sum("n").alias("n"))
     seen = seen.unionByName(theirs.groupBy("term").agg(F.count("*").alias("n"))).groupBy("term").agg(F.sum("n").alias("df"))
     all_ = notices.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
     idf = seen.crossJoin(F.broadcast(all_)).select(  # one row
@@ -76,12 +77,12 @@ def match_notices(notices: DataFrame) -> DataFrame:
     w = F.broadcast(weigh(theirs).select("template", "term", F.col("w").alias("tw")))
     t_norm = weigh(theirs).groupBy("template").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("t_norm"))
     own = weigh(mine)
-    norm = own.groupBy("notice").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dot = own.join(w, "term").groupBy("notice", "template").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
-    scored = dot.join(F.broadcast(t_norm.join(templates.select("template", "licence"), "template")), "template").join(norm, "notice")
+    norm = own.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    dot = own.join(w, "term").groupBy("id", "template").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
+    scored = dot.join(F.broadcast(t_norm.join(templates.select("template", "licence"), "template")), "template").join(norm, "id")
     scored = scored.withColumn("cosine", F.round(F.col("dot") / (F.col("norm") * F.col("t_norm")), 6))
-    best = scored.groupBy("notice").agg(F.max(F.struct("cosine", (-F.col("template")).alias("first"), "licence")).alias("best"))
-    return best.select("notice", "best.licence", "best.cosine")
+    best = scored.groupBy("id").agg(F.max(F.struct("cosine", (-F.col("template")).alias("first"), "licence")).alias("best"))
+    return best.select("id", "best.licence", "best.cosine")
 
 
 def scan_licences(files: DataFrame, threshold: float = COSINE) -> DataFrame:
@@ -100,10 +101,10 @@ def scan_licences(files: DataFrame, threshold: float = COSINE) -> DataFrame:
     whole = F.when(name.rlike(LICENCE_FILE) & F.col("text").rlike(HINT), F.array("text")).otherwise(F.expr("cast(array() as array<string>)"))
     # Texts stay behind here: only ids, paths and the few notices go on.
     found, _ = stage(rows.select("file_id", "path", F.array_distinct(F.concat(lines, whole)).alias("notices")), "notices")
-    each = found.select("file_id", "path", F.explode("notices").alias("notice"))
-    distinct = each.groupBy("notice").agg(F.count("*").alias("n"))
+    each = found.select("file_id", "path", F.explode("notices").alias("notice")).withColumn("id", F.md5("notice"))
+    distinct = each.groupBy("id").agg(F.first("notice").alias("notice"), F.count("*").alias("n"))
     matched, _ = stage(match_notices(distinct).where(F.col("cosine") >= threshold), "matched")
-    own = each.join(matched, "notice").groupBy("file_id", "path").agg(
+    own = each.select("file_id", "path", "id").join(matched, "id").groupBy("file_id", "path").agg(
         F.max(F.struct("cosine", F.reverse(F.col("licence")).alias("tie"), "licence")).alias("best"))
     own = own.select(F.col("file_id").alias("own_id"), F.col("path").alias("own_path"), "best.licence", "best.cosine")
     folder = lambda path: F.regexp_replace(path, "/[^/]*$", "")
