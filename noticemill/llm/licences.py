@@ -89,9 +89,9 @@ def scan_licences(files: DataFrame, threshold: float = COSINE) -> DataFrame:
     """Licence of every file. files: file_id, path (with /), text; other columns are left behind.
 
     Every line of the whole text that could state a licence is compared with the templates; of a licence file (by its
-    name) the whole text is compared too. A file's own licence is that of its best line at the threshold or above, ties by
-    the order of the templates. A file without one takes that of the nearest directory above it, its own included, that
-    has a licence file with a licence; of several in one directory the best counts, ties by the smallest path.
+    name) the whole text is compared too. A line's licence is that of its best template, ties by their order; a file's
+    own licence is that of its best line at the threshold or above, ties by the last name. A file without one takes that of the nearest directory above it, its own included, that
+    has a licence file with a licence; of several in one directory the best counts, ties by the last path.
     Returns file_id, path, licence, cosine, origin (own, inherited or none) and declared_by (path of the file that states it).
     Null texts state nothing; a null path has no directory and inherits nothing; repeated rows are all returned.
     """
@@ -105,7 +105,7 @@ def scan_licences(files: DataFrame, threshold: float = COSINE) -> DataFrame:
     distinct = each.groupBy("id").agg(F.first("notice").alias("notice"), F.count("*").alias("n"))
     matched, _ = stage(match_notices(distinct).where(F.col("cosine") >= threshold), "matched")
     own = each.select("file_id", "path", "id").join(matched, "id").groupBy("file_id", "path").agg(
-        F.max(F.struct("cosine", F.reverse(F.col("licence")).alias("tie"), "licence")).alias("best"))
+        F.max(F.struct("cosine", "licence")).alias("best"))
     own = own.select(F.col("file_id").alias("own_id"), F.col("path").alias("own_path"), "best.licence", "best.cosine")
     folder = lambda path: F.regexp_replace(path, "/[^/]*$", "")
     declared = own.where(F.element_at(F.split("own_path", "/"), -1).rlike(LICENCE_FILE)).groupBy(

@@ -62,18 +62,18 @@ def brute(files):
         best[x] = max(scored)
     own = []
     for notes in notices:
-        hits = [(best[x][0], best[x][2][::-1], best[x][2]) for x in notes if best[x][0] >= licences.COSINE]
+        hits = [(best[x][0], best[x][2]) for x in notes if best[x][0] >= licences.COSINE]
         own.append(max(hits) if hits else None)
     declared = {}
     for (_, path, _), hit in zip(files, own):
         if hit and path is not None and name_of.search(path.split("/")[-1]):
             folder = re.sub("/[^/]*$", "", path)
-            declared[folder] = max(declared.get(folder, (-1.0, "", "")), (hit[0], path, hit[2]))
+            declared[folder] = max(declared.get(folder, (-1.0, "", "")), (hit[0], path, hit[1]))
     out = []
     for (i, path, _), hit in zip(files, own):
         found = (None, "none", None)
         if hit:
-            found = (hit[2], "own", path)
+            found = (hit[1], "own", path)
         elif path is not None:
             at = re.sub("/[^/]*$", "", path)
             parts = at.split("/")
