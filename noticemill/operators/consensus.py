@@ -172,14 +172,17 @@ def merge_passes(passes: DataFrame) -> DataFrame:
 def merge_signals(signals: DataFrame) -> DataFrame:
     """Classification signals of all passes, each once, first position kept.
 
-    ``signals``: (document_id, pass_no, idx, supports, rationale, page, evidence).
+    ``signals``: (document_id, pass_no, idx, supports, rationale, page, evidence),
+    and extraction_method once they are grounded.
     """
     content = ["supports", "rationale", "page", "evidence"]
+    content += [c for c in ["extraction_method"] if c in signals.columns]
+    source = ", ".join(f"s.{c}" for c in content[2:])
     once = signals.groupBy("document_id", *content).agg(F.min(F.struct("pass_no", "idx")).alias("at"))
     return once.groupBy("document_id").agg(
         F.expr(
-            "transform(array_sort(collect_list(struct(at, supports, rationale, page, evidence))), "
-            "s -> struct(s.supports, s.rationale, struct(s.page, s.evidence) as source))"
+            f"transform(array_sort(collect_list(struct(at, {', '.join(content)}))), "
+            f"s -> struct(s.supports, s.rationale, struct({source}) as source))"
         ).alias("classification_evidence")
     )
 
