@@ -27,7 +27,7 @@ RANK, OVERSAMPLE, POWER = 128, 16, 2
 BLOCK_ITEMS = 20_000
 # A candidate: cosine in the latent space, and the share of the benchmark passage's own length that the document's
 # passage has in its direction. The second is 1 or more for a passage held whole, whatever stands around it.
-COSINE, MASS = 0.2, 0.3
+COSINE, MASS = 0.2, 0.25
 # Share of a benchmark text's words that must stand in the passage in order, alone and with the answer found whole.
 LCS_ALONE, LCS_WITH_ANSWER = 0.75, 0.6
 SHORTEST = 6
@@ -197,9 +197,9 @@ def build_space(docs: DataFrame, items: list[Item], rank: int = RANK, seed: int
     if not len(used):
         return None
     frequency, total = _document_frequency(docs, row, len(used))
-    # Words in more than a tenth of all half passages tell nothing.
-    weight = np.maximum(np.log((total + 1) / (frequency + 1)) - np.log(10), 0) if total >= 1000 else np.log((total + 2) / (frequency + 1))
-    weight = weight.astype(np.float32)
+    # In a large corpus, words in more than a tenth of all half passages tell nothing; in a small one the share is larger.
+    common = np.log(1 + 9 * total / (total + 1000))
+    weight = np.maximum(np.log((total + 2) / (frequency + 1)) - common, 0).astype(np.float32)
     entries, owner, length = _passages(items, row, weight)
     if not entries:
         return None
