@@ -322,6 +322,14 @@ def _stars(members: DataFrame) -> DataFrame:
     return best.select(F.explode(F.array_distinct(F.array("low", "most.lead"))).alias("a"), F.col("f").alias("b"))
 
 
+def _other_stars(members: DataFrame, component: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a bucket's lead and a set of it that are in different components after the first round."""
+    pairs = members.select(F.col("lead").alias("a"), F.col("f").alias("b")).distinct()
+    side = lambda name: component.select(F.col("node").alias(name), F.col("component").alias(f"p_{name}"))
+    placed = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    return placed.where("coalesce(p_a, a) <> coalesce(p_b, b)").select("a", "b")
+
+
 def _crossing(members: DataFrame, component: DataFrame, points: DataFrame) -> DataFrame:
     """Pairs (a, b) that share a bucket, belong to different components so far, and may be links by size or the tree.
 
@@ -362,7 +370,8 @@ def similar_groups(docs: DataFrame) -> DataFrame:
 
     Returns doc_id, n (shingles), f (fingerprint of the set), root (fingerprint that names the group) and component
     (smallest doc_id reachable by links), one row per input row. Documents of equal sets are one node, so copies cost nothing. First every set is verified against two
-    others it shares buckets with; components are formed; then all pairs of a bucket that are still in different
+    others it shares buckets with and components are formed, then against the leads of its buckets that belong to
+    other components; then all pairs of a bucket that are still in different
     components are left to the bounds and verified. So a group of near copies of any size takes a few links per document.
     Texts without words are linked with nothing. Null ids: the component is the smallest id that is not null, if any.
     """
@@ -376,10 +385,12 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     texts, _ = stage(_texts(rows, points.select("f", "doc_id")), "texts")
     points = points.select("f", "n", "counts")
     links, _ = stage(_verified(_bounded(stars, points), texts), "links")
-    first = components(links)
-    crossing, _ = stage(_crossing(members, first, points).join(stars, ["a", "b"], "left_anti"), "crossing")
-    more = _verified(_bounded(crossing, points), texts)
-    node = components(links.unionAll(more)).withColumnRenamed("node", "f")
+    others, _ = stage(_other_stars(members, components(links)).join(stars, ["a", "b"], "left_anti"), "other-stars")
+    more, _ = stage(links.unionAll(_verified(_bounded(others, points), texts)), "links")
+    tried = stars.unionAll(others)
+    crossing, _ = stage(_crossing(members, components(more), points).join(tried, ["a", "b"], "left_anti"), "crossing")
+    last = _verified(_bounded(crossing, points), texts)
+    node = components(more.unionAll(last)).withColumnRenamed("node", "f")
     placed = table.select("doc_id", "n", "f").join(node, "f", "left").withColumn("root", F.coalesce("component", "f"))
     smallest = placed.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
     return placed.join(smallest, "root", "left").select(
