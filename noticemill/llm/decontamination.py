@@ -28,6 +28,8 @@ BLOCK_ITEMS = 20_000
 # A candidate: cosine in the latent space, and the share of the benchmark passage's own length that the document's
 # passage has in its direction. The second is 1 or more for a passage held whole, whatever stands around it.
 COSINE, MASS = 0.2, 0.25
+# Weight of a word in every half passage of the corpus.
+FLOOR = 0.05
 # Share of a benchmark text's words that must stand in the passage in order, alone and with the answer found whole.
 LCS_ALONE, LCS_WITH_ANSWER = 0.75, 0.6
 SHORTEST = 6
@@ -136,10 +138,9 @@ def _passages(items: list[Item], row: np.ndarray, weight: np.ndarray) -> tuple[l
             r, tf = np.unique(r, return_counts=True)
             v = tf * weight[r]
             norm = np.sqrt((v * v).sum())
-            if norm > 0:
-                entries += [(len(owner), int(a), float(b)) for a, b in zip(r, v / norm) if b]
-                owner.append(n)
-                length.append(float(norm))
+            entries += [(len(owner), int(a), float(b)) for a, b in zip(r, v / norm)]
+            owner.append(n)
+            length.append(float(norm))
     return entries, owner, length
 
 
@@ -188,7 +189,7 @@ def randomised_svd(entries: DataFrame, rank: int, seed: int, power: int = POWER)
 
 
 def build_space(docs: DataFrame, items: list[Item], rank: int = RANK, seed: int = 3) -> Space | None:
-    """Latent space of one block of the benchmark; None if it has no word that tells anything."""
+    """Latent space of one block of the benchmark; None if it has no word."""
     spark = docs.sparkSession
     row = np.full(1 << BITS, -1, np.int32)
     used = np.unique((mix(np.concatenate([np.array(i.words, np.uint64) for i in items]) + np.uint64(5))
@@ -197,12 +198,9 @@ def build_space(docs: DataFrame, items: list[Item], rank: int = RANK, seed: int
     if not len(used):
         return None
     frequency, total = _document_frequency(docs, row, len(used))
-    # In a large corpus, words in more than a tenth of all half passages tell nothing; in a small one the share is larger.
-    common = np.log(1 + 9 * total / (total + 1000))
-    weight = np.maximum(np.log((total + 2) / (frequency + 1)) - common, 0).astype(np.float32)
+    # Never 0, whatever the share of the corpus a word stands in: an item of common words only is looked for too.
+    weight = (np.log((total + 2) / (frequency + 1)) + FLOOR).astype(np.float32)
     entries, owner, length = _passages(items, row, weight)
-    if not entries:
-        return None
     frame = spark.createDataFrame(pd.DataFrame(entries, columns=["passage", "word", "value"]))
     basis = randomised_svd(frame, rank, seed).astype(np.float32)
     latent = np.zeros((len(owner), basis.shape[1]), np.float32)
@@ -221,7 +219,6 @@ def search(column: pa.Array, space: Space) -> list[tuple[int, int, int, float, i
         return []
     r = space.row[term]
     known = np.flatnonzero(r >= 0)
-    known = known[space.weight[r[known]] > 0]
     half = np.searchsorted(at, known, side="right") - 1
     r = r[known]
     found = []

@@ -105,3 +105,18 @@ def test_nasty_rows_and_empty_tables(spark):
     assert dec.contaminated(table(spark, data), benchmark_table(spark, [])).collect() == []
     assert dec.contaminated(table(spark, []), benchmark_table(spark, bench)).collect() == []
     assert dec.keep_clean(table(spark, data), benchmark_table(spark, [])).count() == len(data)
+
+
+def test_an_item_in_a_third_of_many_short_documents(spark):
+    rng = random.Random(9)
+    items = [(i, prose(rng, 29)) for i in range(20)]
+    docs, truth = [], set()
+    for d in range(3000):
+        text = prose(rng, rng.randrange(5, 60)).split()
+        if d % 3 == 0:
+            at = rng.randrange(len(text) + 1)
+            text[at:at] = items[0][1].split()
+            truth.add((d, 0))
+        docs.append((d, " ".join(text)))
+    found = dec.contaminated(table(spark, rows(docs)), benchmark_table(spark, items)).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == truth
