@@ -26,8 +26,11 @@ RANK, OVERSAMPLE, POWER = 128, 16, 2
 # Benchmark texts worked on at a time; with the bits above, this bounds what is broadcast.
 BLOCK_ITEMS = 20_000
 # A candidate: cosine in the latent space, and the share of the benchmark passage's own length that the document's
-# passage has in its direction. The second is 1 or more for a passage held whole, whatever stands around it.
-COSINE, MASS = 0.2, 0.25
+# passage has in its direction. The second is about 1 for a passage held whole, whatever stands around it, so a share of
+# ALONE or more needs no cosine: words of other items around a passage lower only that.
+COSINE, MASS, ALONE = 0.2, 0.25, 0.6
+# Least part of a benchmark passage's length that the latent space must keep; items below it get a space of their own.
+KEPT = 0.25
 # Weight of a word in every half passage of the corpus.
 FLOOR = 0.05
 # Share of a benchmark text's words that must stand in the passage in order, alone and with the answer found whole.
@@ -84,6 +87,7 @@ class Space:
     length: np.ndarray  # float32: their lengths before scaling
     owner: np.ndarray  # item of each of these
     items: list[Item]
+    kept: np.ndarray  # float32: part of each passage's length that the latent space keeps
 
 
 def _items(rows: list) -> list[Item]:
@@ -208,7 +212,41 @@ def build_space(docs: DataFrame, items: list[Item], rank: int = RANK, seed: int
         latent[p] += np.float32(v) * basis[w]
     norm = np.linalg.norm(latent, axis=1, keepdims=True)
     latent = np.divide(latent, norm, out=np.zeros_like(latent), where=norm > 1e-6)
-    return Space(row, weight, basis, latent, np.array(length, np.float32) * norm[:, 0], np.array(owner), items)
+    return Space(row, weight, basis, latent, np.array(length, np.float32) * norm[:, 0], np.array(owner), items, norm[:, 0])
+
+
+def build_spaces(docs: DataFrame, items: list[Item], rank: int = RANK, seed: int = 3) -> list[Space]:
+    """Latent spaces in which every item is told apart.
+
+    A space of few directions holds what many passages share. Items it keeps too little of are dealt to further spaces, the
+    half of them at a time where that alone gains nothing; up to `rank` passages are always kept whole.
+    """
+    made, open_ = [], [items]
+    while open_:
+        own = open_.pop()
+        space = build_space(docs, own, rank, seed)
+        if space is None:
+            continue
+        weak = np.zeros(len(own), bool)
+        weak[space.owner[space.kept < KEPT]] = True
+        few = len(space.owner) <= rank or len(own) == 1
+        if few or not weak.any():
+            made.append(space)
+        elif weak.all():
+            open_ += [own[:len(own) // 2], own[len(own) // 2:]]
+        else:
+            # The whole space stays: the items it holds well are found in it. The others are looked for in their own.
+            made.append(_only(space, ~weak))
+            open_.append([item for item, w in zip(own, weak) if w])
+    return made
+
+
+def _only(space: Space, items: np.ndarray) -> Space:
+    """The same space with some of its items."""
+    number = np.cumsum(items) - 1
+    mine = items[space.owner]
+    return Space(space.row, space.weight, space.basis, space.latent[mine], space.length[mine], number[space.owner[mine]],
+                 [item for item, keep in zip(space.items, items) if keep], space.kept[mine])
 
 
 def search(column: pa.Array, space: Space) -> list[tuple[int, int, int, float, int, bool]]:
@@ -250,8 +288,9 @@ def search(column: pa.Array, space: Space) -> list[tuple[int, int, int, float, i
         v = np.where((slot[own] >= 0)[:, None], sums[slot[own]], 0) + np.where((nxt[own] >= 0)[:, None], sums[nxt[own]], 0)
         norm = np.linalg.norm(v, axis=1)
         mass = v @ space.latent.T
-        for p, k in zip(*np.nonzero((mass >= MASS * space.length) & (mass >= COSINE * np.maximum(norm, 1e-9)[:, None]))):
-            found.append((int(own[p]), int(space.owner[k]), float(mass[p, k] / norm[p])))
+        near = (mass >= MASS * space.length) & (mass >= COSINE * np.maximum(norm, 1e-9)[:, None])
+        for p, k in zip(*np.nonzero(near | (mass >= ALONE * space.length))):
+            found.append((int(own[p]), int(space.owner[k]), float(mass[p, k] / max(norm[p], 1e-9))))
     text_of = np.searchsorted(begins, np.arange(len(at)), side="right") - 1
     done = {}
     for p, k, cosine in found:
@@ -283,9 +322,7 @@ def spaces(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK_ITEMS) -> l
     made = []
     for k in range(blocks):
         items = _items(numbered.where(F.col("block") == k).orderBy("item_id", "text").collect())
-        space = build_space(docs, items)
-        if space is not None:
-            made.append(space)
+        made += build_spaces(docs, items)
     return made
 
 

@@ -120,3 +120,28 @@ def test_an_item_in_a_third_of_many_short_documents(spark):
         docs.append((d, " ".join(text)))
     found = dec.contaminated(table(spark, rows(docs)), benchmark_table(spark, items)).collect()
     assert {(r.doc_id, r.item_id) for r in found} == truth
+
+
+def test_more_items_than_the_rank_leave_none_out(spark):
+    """Families of like items fill the latent space; items with words of their own and short ones of common words remain."""
+    rng = random.Random(12)
+    items = []
+    for family in range(150):
+        own = [f"f{family}x{k}" for k in range(24)]
+        for _ in range(3):
+            items.append((len(items), " ".join(own[:20] + [f"y{rng.randrange(3000)}" for _ in range(4)])))
+    lone = [(1000 + i, " ".join(f"lone{i}x{k}" for k in range(20))) for i in range(10)]
+    plain = (2000, " ".join(f"plain{k}" for k in range(8)))
+    docs, truth = [], set()
+    for d in range(400):
+        text = " ".join(" ".join(rng.sample(items[rng.randrange(450)][1].split(), 8)) for _ in range(12)).split()
+        text += [f"plain{rng.randrange(8)}" for _ in range(4)]
+        rng.shuffle(text)
+        if d % 4 == 0:
+            i, own = lone[d // 4 % 10] if d % 8 else plain
+            at = rng.randrange(len(text) + 1)
+            text[at:at] = own.split()
+            truth.add((d, i))
+        docs.append((d, " ".join(text)))
+    found = dec.contaminated(table(spark, rows(docs)), benchmark_table(spark, items + lone + [plain])).collect()
+    assert {(r.doc_id, r.item_id) for r in found if r.item_id >= 1000} == truth
