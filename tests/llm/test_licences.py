@@ -115,3 +115,24 @@ def test_documents_as_files_and_empty_table(spark):
     rows = licences.scan_licences(as_files(table(spark, data))).collect()
     assert len(rows) == len(data) and all(r.origin == "none" for r in rows)
     assert licences.scan_licences(as_files(table(spark, []))).collect() == []
+
+
+def test_headers_of_several_lines_and_notices_inside_lines(spark):
+    mpl = ["This Source Code Form is subject to the terms of the Mozilla Public", "License, v. 2.0. If a copy of the MPL was not distributed with this",
+           "file, You can obtain one at http://mozilla.org/MPL/2.0/."]
+    gpl = ["This program is free software: you can redistribute it and/or modify", "it under the terms of the GNU General Public License as published by",
+           "the Free Software Foundation, either version 3 of the License, or", "(at your option) any later version."]
+    prose = "the parser reads every table of the folder in turn and keeps a count of its rows for the report"
+    apache = "Licensed under the Apache License, Version 2.0."
+    files = [
+        ("1", "/a/x.c", "/* " + "\n * ".join(mpl) + " */\nint main() {}"),
+        ("2", "/b/x.py", "\n".join("# " + x for x in gpl) + "\nimport os"),
+        ("3", "/c/x.md", f"{prose}. {apache} {prose}."),
+        ("4", "/d/x.md", f"{prose} {apache} {prose}"),
+        ("5", "/e/x.rs", "// This file of the project may be used as its\n// owner says: it is released under the\n// MIT License.\nfn main() {}"),
+        ("6", "/f/LICENSE", "   Apache License\n   Version 2.0, January 2004\n   http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION\n\n"
+         + "\n".join(f"clause {k} {prose}" for k in range(200))),
+        ("7", "/g/x.md", f"{prose} with a licence nobody has {prose}"),
+    ]
+    got = {r[0]: r[2] for r in found(spark, files)}
+    assert got == {"1": "MPL-2.0", "2": "GPL-3.0", "3": "Apache-2.0", "4": "Apache-2.0", "5": "MIT", "6": "Apache-2.0", "7": None}
