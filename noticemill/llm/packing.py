@@ -4,12 +4,19 @@ from __future__ import annotations
 
 import math
 from bisect import bisect_left, bisect_right, insort
+from collections.abc import Iterator
 from itertools import accumulate
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from noticemill.llm.tables import stage
+from noticemill.llm.tokens import tokenize
+from noticemill.llm.words import slices
+
 CAPACITIES = (512, 1024, 2048, 4096, 8192)
 # Cost of a sequence of length c: c + c**2 / ATTENTION + EACH.
 ATTENTION, EACH = 65_536, 24
@@ -122,5 +129,24 @@ def pack_documents(lengths: DataFrame, capacities: tuple[int, ...] = CAPACITIES,
     return packed.unionByName(rest)
 
 
-def pack_texts(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES) -> DataFrame:
+def token_lengths(docs: DataFrame, tokenizer: str) -> DataFrame:
+    """doc_id and n_tokens of every row: the tokenizer's ids of the text and one end id. Null and empty: 1.
+
+    Texts stay in the scan. The lengths are written, since packing reads them more than once.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows in slices(batch, "text"):
+                _, begins = tokenize(rows.column("text"), tokenizer)
+                yield pa.record_batch([rows.column("doc_id"), pa.array(np.diff(begins), pa.int64())], ["doc_id", "n_tokens"])
+
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return stage(keyed.mapInArrow(run, "doc_id long, n_tokens long"), "lengths")[0]
+
+
+def pack_texts(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, tokenizer: str | None = None) -> DataFrame:
+    """Packed by the tokenizer's lengths; without a tokenizer by word counts."""
+    if tokenizer is not None:
+        return pack_documents(token_lengths(docs, tokenizer), capacities)
     return pack_documents(docs.select("doc_id", word_count(F.col("text")).alias("n_tokens")), capacities)

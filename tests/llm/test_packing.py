@@ -1,9 +1,10 @@
 import random
 from collections import Counter, defaultdict
 
+import pytest
 from llm_cases import nasty, table
 
-from noticemill.llm import packing
+from noticemill.llm import packing, queries
 
 
 def cost_of(placed):
@@ -97,3 +98,21 @@ def test_odd_lengths_groups_and_empty_table(spark):
     assert {(r.doc_id, r.bin) for r in found if r.n_tokens is None or r.n_tokens <= 0} == {(0, None), (1, None), (2, None)}
     assert sum(r.n_tokens for r in found if r.bin is not None) == sum(n for _, n in rows if n and n > 0)
     assert packing.pack_texts(table(spark, [])).collect() == []
+
+
+def test_query_packs_by_the_lengths_of_the_tokenizer(spark, tmp_path):
+    public = pytest.importorskip("public_tokenizers")
+    tokenizers = pytest.importorskip("tokenizers")
+    tokenizer = tokenizers.Tokenizer.from_file(public.path("word_bpe_49k.json"))
+    # The last text has no blank and more tokens than the largest capacity.
+    data = [*nasty(), (20, "".join(f"x{k}-" for k in range(9000)), *nasty()[0][2:])]
+    table(spark, data).write.parquet(f"{tmp_path}/documents.parquet")
+    found = queries.op10_packing(spark, str(tmp_path)).collect()
+    want, whole = Counter(), Counter()
+    for r in data:
+        want[r[0]] += len(tokenizer.encode(r[1] or "", add_special_tokens=False).ids) + 1
+    for r in found:
+        whole[r.doc_id] += r.n_tokens
+        assert r.n_tokens <= r.capacity
+    assert whole == want
+    assert want[20] > packing.CAPACITIES[-1] and sum(r.doc_id == 20 for r in found) == -(-want[20] // packing.CAPACITIES[-1])
