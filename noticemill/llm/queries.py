@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticemill.llm import decontamination, jaccard, language, licences, packing, secrets, sharding, tokens, toxicity, vectors
+from noticemill.llm import (
+    decontamination, jaccard, language, licences, packing, resampling, secrets, sharding, spelling, tokens, toxicity, urls, vectors,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,9 +70,21 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_texts(_table(spark, sf_dir, "documents"), tokenizer=public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variant_groups(_table(spark, sf_dir, "documents"))
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.filter_urls(_table(spark, sf_dir, "pages"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_sharding, op2_decontamination, op3_licences, op4_vector_duplicates, op5_jaccard_join, op6_toxicity,
-    op7_secret_scan, op8_token_files, op9_language_id, op10_packing,
+    op7_secret_scan, op8_token_files, op9_language_id, op10_packing, op11_resampling, op12_spelling, op13_url_filter,
 )}
 
 ORACLE = {
