@@ -6,10 +6,11 @@ latest_processing_status, latest_payload, revision, processed_at.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noticemill.functions.scale import block_of, running_total
+from noticemill.sources.latest import LatestTable
 
 COLUMNS = [
     "sha", "document_id", "original_file_name", "processing_state", "latest_processing_status",
@@ -84,23 +85,44 @@ def apply_results(registry: DataFrame, artifacts: DataFrame) -> DataFrame:
     )
 
 
-def backfill(registry: DataFrame, log: DataFrame) -> DataFrame:
-    """Rebuild missing registry rows from the history; known keys stay as is."""
+def usable_history(log: DataFrame) -> DataFrame:
+    """Artifacts a registry row can be rebuilt from, with their content hash."""
     usable = log.where("processing_status <> 'FAILED' and get_json_object(payload, '$.schema_version') = '2.0'")
-    missing = _latest(usable, ["created_at", "seq"]).join(registry.select("sha"), "sha", "left_anti")
+    valid = usable.where((F.col("artifact_type") == "DOCUMENT_RECORD") & F.col("document_id").rlike(ID_PATTERN))
+    return valid.withColumn("sha", F.substring("document_id", 8, 64))
+
+
+def history_snapshot(spark: SparkSession, path: str, history: DataFrame) -> LatestTable:
+    """Compacted history: the newest usable artifact per content, kept by hash bucket (see sources.latest)."""
+    return LatestTable(spark, path, history.schema, "sha", ["created_at", "seq"])
+
+
+def backfill(registry: DataFrame, latest: DataFrame) -> DataFrame:
+    """Rebuild missing registry rows; known keys stay as they are.
+
+    latest: the newest usable artifact per content, as a history_snapshot gives it after it has taken what the log has
+    gained. The log itself is not read again.
+    """
+    missing = latest.join(registry.select("sha"), "sha", "left_anti")
+    name = "coalesce(get_json_object(payload, '$.source_document.file_name'), file_name)"
     rebuilt = missing.select(
         "sha",
-        F.expr("a.document_id as document_id"),
-        F.expr(f"{_payload_name()} as original_file_name"),
+        "document_id",
+        F.expr(f"{name} as original_file_name"),
         F.lit("COMPLETED").alias("processing_state"),
-        F.expr("a.processing_status as latest_processing_status"),
-        F.expr("a.payload as latest_payload"),
+        F.col("processing_status").alias("latest_processing_status"),
+        F.col("payload").alias("latest_payload"),
         F.lit(1).cast(registry.schema["revision"].dataType).alias("revision"),
-        F.expr("a.created_at as processed_at"),
+        F.col("created_at").alias("processed_at"),
     )
     return registry.select(*COLUMNS).unionByName(rebuilt)
 
 
+def registry_snapshot(spark: SparkSession, path: str, registry: DataFrame) -> LatestTable:
+    """Registry kept by hash bucket: every change of a row is added, the one of the highest revision and time counts."""
+    return LatestTable(spark, path, registry.schema, "sha", ["revision", "processed_at"])
+
+
 def list_completed(registry: DataFrame) -> DataFrame:
     """Latest payloads of completed documents, oldest first."""
     return registry.where("processing_state = 'COMPLETED' and latest_payload is not null").orderBy(

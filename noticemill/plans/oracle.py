@@ -571,9 +571,19 @@ O["stream_registry"] = S(
     "select doc_key, cast(max(revision) as integer) as revision, cast(max(accepted) as bigint) as accepted from run group by doc_key",
     "log", extra=_REPLAY, recursive=True)
 O["stream_report"] = S(
-    """select strftime(date_trunc('day', ts), '%Y-%m-%d') as window_start, count(*) as processed,
-     count(*) filter (where processing_status = 'ACCEPTED') as accepted, count(*) filter (where processing_status = 'REVIEW_REQUIRED') as human_review,
-     count(*) filter (where processing_status = 'PENDING_INFORMATION') as pending_information,
-     count(*) filter (where processing_status = 'FAILED') as failed from outcomes group by 1""", extra={"outcomes": _f(samples.OUTCOMES)})
+    """select strftime(w, '%Y-%m-%d') as window_start, count(*) filter (where not is_late) as processed,
+     count(*) filter (where processing_status = 'ACCEPTED' and not is_late) as accepted,
+     count(*) filter (where processing_status = 'REVIEW_REQUIRED' and not is_late) as human_review,
+     count(*) filter (where processing_status = 'PENDING_INFORMATION' and not is_late) as pending_information,
+     count(*) filter (where processing_status = 'FAILED' and not is_late) as failed, count(*) filter (where is_late) as late
+     from told group by w having w + interval 1 day <= date_trunc('millisecond', (select max(ts) from told) - interval 1 day)
+     and count(*) filter (where not is_late) > 0""",
+    extra={
+        "outcomes": _f(samples.OUTCOMES),
+        "bound": """select p.part, date_trunc('millisecond', (select max(o.ts) from outcomes o where o.part < p.part) - interval 1 day) as mark
+          from (select distinct part from outcomes) p""",
+        "told": """select o.ts, o.processing_status, date_trunc('day', o.ts) as w,
+          coalesce(date_trunc('day', o.ts) + interval 1 day <= b.mark, false) as is_late from outcomes o join bound b on b.part = o.part"""})
 O["stream_process"] = S(
-    "select document_id, 'notice_' || document_id || '.json' as file_name, processing_status from route", "route")
+    """select document_id, 'notice_' || document_id || '.json' as file_name, processing_status,
+     cast(case when cast(document_id as bigint) % 4 = 0 then 2 else 1 end as bigint) as changes from route""", "route")

@@ -231,7 +231,12 @@ def _(spark, d):
 @query("registry_backfill")
 def _(spark, d):
     known = derived.registry(spark, d).where("processed_at % 2 = 0")
-    after = reg.backfill(known, samples.artifact_log(spark, d))
+    history = reg.usable_history(samples.artifact_log(spark, d))
+    snapshot = reg.history_snapshot(spark, scratch_path(spark, "snapshot"), history)
+    # The log grows in three parts; each is added to the snapshot once.
+    for epoch in range(3):
+        snapshot.upsert(history.where(f"seq % 3 = {epoch}"), epoch)
+    after = reg.backfill(known, snapshot.read())
     return after.select(
         "document_id", "original_file_name", "processing_state", "latest_processing_status",
         F.col("revision").cast("long").alias("revision"), "processed_at",
@@ -243,9 +248,22 @@ def _(spark, d):
     return reg.replay(derived.registry_log(spark, d))
 
 
+def _registry_table(spark, d):
+    """The registry as its changes left it: every second row was being processed before."""
+    final = derived.registry(spark, d)
+    before = final.where("processed_at % 2 = 1").select(
+        "sha", "document_id", "original_file_name", F.lit("PROCESSING").alias("processing_state"),
+        F.lit(None).cast("string").alias("latest_processing_status"), F.lit(None).cast("string").alias("latest_payload"),
+        (F.col("revision") - 1).alias("revision"), F.lit(None).cast("long").alias("processed_at"))
+    table = reg.registry_snapshot(spark, scratch_path(spark, "registry"), final)
+    table.upsert(before, 0)
+    table.upsert(final, 1)
+    return table.read().drop("changes")
+
+
 @query("list_completed")
 def _(spark, d):
-    return reg.list_completed(derived.registry(spark, d)).select("document_id", "processed_at", "latest_payload")
+    return reg.list_completed(_registry_table(spark, d)).select("document_id", "processed_at", "latest_payload")
 
 
 @query("get_document")
@@ -847,25 +865,45 @@ def _(spark, d):
 
 @query("stream_registry")
 def _(spark, d):
-    log = spark.sql(derived.LOG, events=_stream(spark, d, "events"))
-    path = scratch_path(spark, "registry")
-    jobs.run_to_end(jobs.stream_registry(log), path, scratch_path(spark, "chk"))
+    # The log in three parts out of order: two rows in three come one or two parts late. A row beyond its end closes it.
+    log = derived.registry_log(spark, d).select("seq", "ts", "doc_key", "action")
+    inbox, path = scratch_path(spark, "inbox"), scratch_path(spark, "registry")
+    for part in range(3):
+        log.where(f"pmod(seq * 7, 3) = {part}").orderBy(F.desc("seq")).write.mode("append").parquet(inbox)
+    span = log.agg(F.expr("cast(ceil((unix_micros(max(ts)) - unix_micros(min(ts))) / 1e6) as bigint) + 1").alias("s")).first()["s"] or 1
+    close = log.agg(F.max("ts").alias("ts")).selectExpr(
+        "cast(-1 as bigint) as seq", f"ts + make_dt_interval(0, 0, 0, {2 * span}) as ts", "cast(null as bigint) as doc_key", "'CLAIM' as action")
+    close.write.mode("append").parquet(inbox)
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", jobs.FILES_PER_BATCH).parquet(inbox)
+    jobs.run_to_end(jobs.stream_registry(stream, f"{span} seconds"), path, scratch_path(spark, "chk"))
     rows = spark.read.parquet(path)
     return rows.groupBy("doc_key").agg(F.max("revision").alias("revision"), F.count_if("accepted").alias("accepted"))
 
 
 @query("stream_report")
 def _(spark, d):
-    log = spark.sql(samples.OUTCOMES, events=_stream(spark, d, "events"))
-    path = scratch_path(spark, "report")
-    jobs.run_to_end(jobs.stream_report(log), path, scratch_path(spark, "chk"), "complete")
-    return spark.read.parquet(path).withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd"))
+    # Five parts of the outcomes by time; one row in 11 comes three parts late, after its window has closed.
+    outcomes = samples.outcomes(spark, d)
+    inbox, path, out = (scratch_path(spark, n) for n in ("inbox", "report", "windows"))
+    counting = None
+    for part in range(samples.OUTCOME_PARTS):
+        outcomes.where(f"part = {part}").drop("part").write.mode("append").parquet(inbox)
+        stream = spark.readStream.schema(outcomes.drop("part").schema).parquet(inbox)
+        counting = counting or scratch_path(spark, "chk")
+        writer = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", counting)
+        writer.foreachBatch(jobs.split_late(path)).start().awaitTermination()
+    jobs.run_to_end(jobs.stream_report(jobs.read_counts(spark, path)), out, scratch_path(spark, "chk"))
+    late = spark.read.parquet(f"{path}/late").groupBy("window_start").agg(F.count(F.lit(1)).alias("late"))
+    rows = spark.read.parquet(out).join(late, "window_start", "left")
+    return rows.withColumn("late", F.coalesce("late", F.lit(0)).cast("long")).withColumn(
+        "window_start", F.date_format("window_start", "yyyy-MM-dd"))
 
 
 @query("stream_process")
 def _(spark, d):
     golden = golden_of(spark, d)
-    log = scratch_path(spark, "history")
+    log, inbox, check = (scratch_path(spark, n) for n in ("history", "inbox", "chk"))
+    latest = sinks.latest_records(spark, scratch_path(spark, "latest"))
 
     def process(orders: DataFrame) -> DataFrame:
         session = orders.sparkSession
@@ -873,7 +911,12 @@ def _(spark, d):
         text = session.sql(derived.PAGES, fields=fields, golden=derived.golden(session, d))
         return pipeline.process(as_pages(text, "doc", "page", "text"), golden)
 
-    writer = _stream(spark, d, "orders").writeStream.trigger(availableNow=True)
-    writer = writer.option("checkpointLocation", scratch_path(spark, "chk"))
-    writer.foreachBatch(jobs.process_batches(process, log)).start().awaitTermination()
-    return spark.read.parquet(log).select("document_id", "file_name", "processing_status")
+    # One notice in four was issued before with other figures; all are issued (again) later.
+    orders = derived.table(spark, d, "orders")
+    first = orders.where("o_orderkey % 4 = 0").withColumn("o_totalprice", F.col("o_totalprice") + 7.77)
+    for issued in (first, orders):
+        issued.write.mode("append").parquet(inbox)
+        stream = spark.readStream.schema(orders.schema).option("maxFilesPerTrigger", jobs.FILES_PER_BATCH).parquet(inbox)
+        writer = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", check)
+        writer.foreachBatch(jobs.process_batches(process, log, latest)).start().awaitTermination()
+    return latest.read().select("document_id", "file_name", "processing_status", "changes")

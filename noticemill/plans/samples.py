@@ -138,10 +138,14 @@ select cast(f.k as string) as document_id, 1 as conflict_no, 'title and body dis
 from {fields} f cross join (select 1 as signal_no union all select 2 union all select 3) s
 """
 
+OUTCOME_PARTS = 5
+# part: when a row arrives, by its place in time; one in 11 comes three parts late.
 OUTCOMES = """
 select cast(ts as timestamp) as ts, case event_type when 'signup' then 'ACCEPTED' when 'view' then 'ACCEPTED'
- when 'click' then 'REVIEW_REQUIRED' when 'purchase' then 'PENDING_INFORMATION' else 'FAILED' end as processing_status
-from {events}
+ when 'click' then 'REVIEW_REQUIRED' when 'purchase' then 'PENDING_INFORMATION' else 'FAILED' end as processing_status,
+ case when event_id%11=0 and p<2 then p+3 else p end as part
+from (select *, cast(floor((event_id - low) * 5 / (high - low + 1)) as int) as p from {events}
+ cross join (select min(event_id) as low, max(event_id) as high from {events}) b) e
 """
 
 
@@ -177,6 +181,10 @@ def report_lines(spark: SparkSession, d: str) -> DataFrame:
     return _uploads_sql(spark, d, LINES)
 
 
+def outcomes(spark: SparkSession, d: str) -> DataFrame:
+    return spark.sql(OUTCOMES, events=derived.table(spark, d, "events"))
+
+
 def variants(spark: SparkSession, d: str) -> DataFrame:
     return spark.sql(VARIANTS, pages=derived.table(spark, d, "pages"))
 

@@ -16,6 +16,9 @@ SQL_SETTINGS = {
     # A record has hundreds of nested fields; the default of 100 would switch
     # whole-stage code generation off for every stage that handles one.
     "spark.sql.codegen.maxFields": "5000",
+    # Lists and timers per key need this state store.
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 
