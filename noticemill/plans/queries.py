@@ -871,8 +871,8 @@ def _(spark, d):
     for part in range(3):
         log.where(f"pmod(seq * 7, 3) = {part}").orderBy(F.desc("seq")).write.mode("append").parquet(inbox)
     span = log.agg(F.expr("cast(ceil((unix_micros(max(ts)) - unix_micros(min(ts))) / 1e6) as bigint) + 1").alias("s")).first()["s"] or 1
-    close = log.agg(F.max("ts").alias("ts")).selectExpr(
-        "cast(-1 as bigint) as seq", f"ts + make_dt_interval(0, 0, 0, {2 * span}) as ts", "cast(null as bigint) as doc_key", "'CLAIM' as action")
+    close = log.agg(F.max("ts").alias("ts"), F.min("doc_key").alias("low")).selectExpr(
+        "cast(-1 as bigint) as seq", f"ts + make_dt_interval(0, 0, 0, {2 * span}) as ts", "low - 1 as doc_key", "'CLAIM' as action")
     close.write.mode("append").parquet(inbox)
     stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", jobs.FILES_PER_BATCH).parquet(inbox)
     jobs.run_to_end(jobs.stream_registry(stream, f"{span} seconds"), path, scratch_path(spark, "chk"))
