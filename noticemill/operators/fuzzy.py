@@ -5,7 +5,8 @@ built-in computes; one Arrow-fed task function scores it.  Around it Spark does
 the work: distinct names only, partitioned into length bands (a pair can reach
 the threshold only if the lengths are close, so bands lose nothing), band
 sides cut into bounded blocks by their counted sizes, and a top-k merge.
-No pair of rows is ever materialised outside a task, only its best k.
+Inside a block an index of bigrams with their positions leaves few golden names
+to score.  No pair of rows is ever materialised outside a task, only its best k.
 """
 
 from __future__ import annotations
@@ -20,10 +21,10 @@ from pyspark.sql import functions as F
 from noticemill import vocab
 from noticemill.functions.scale import salted_join
 from noticemill.operators.reconciliation import Golden
+from noticemill.session import scratch_path
 
 BAND = 8
 BLOCK_ROWS = 20_000
-_ALPHABET = " 0123456789abcdefghijklmnopqrstuvwxyz"
 _T = vocab.FUZZY_THRESHOLD
 
 
@@ -32,34 +33,57 @@ def ratio(notice: str, golden: str) -> float:
     return SequenceMatcher(None, notice, golden).ratio()
 
 
-def letter_counts(names: pd.Series) -> np.ndarray:
-    counts = np.zeros((len(names), len(_ALPHABET)), dtype=np.int32)
-    for row, name in enumerate(names):
-        for char in name:
-            counts[row, _ALPHABET.index(char)] += 1
-    return counts
+class GramIndex:
+    """Positional bigram index of the golden names of a block.
 
+    The M matched characters of two names are a common subsequence.  With at
+    least M0 = t*(a+b)/2 of them, a-M0 characters of one name and b-M0 of the
+    other stay unmatched; every one of these parts at most one pair of
+    neighbours of the subsequence, so M0-1-(a-M0)-(b-M0) common bigrams are
+    left, and no matched bigram is shifted by more than the unmatched
+    characters before it.  Names with fewer bigrams in reach cannot score.
+    """
 
-def candidates(name_counts: np.ndarray, length: int, golden_counts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Indexes that may reach the threshold: the matched characters cannot
-    exceed the common letters, nor the shorter name."""
-    common = np.minimum(golden_counts, name_counts).sum(axis=1)
-    return np.nonzero(2.0 * common >= _T * (length + lengths) - 1e-9)[0]
+    def __init__(self, names: list[str]):
+        self.lengths = np.array([len(n) for n in names], np.int64)
+        found: dict[str, tuple[list[int], list[int]]] = {}
+        for row, name in enumerate(names):
+            for place in range(len(name) - 1):
+                rows, places = found.setdefault(name[place:place + 2], ([], []))
+                rows.append(row)
+                places.append(place)
+        self.postings = {g: (np.array(r, np.int64), np.array(p, np.int64)) for g, (r, p) in found.items()}
+
+    def candidates(self, name: str) -> np.ndarray:
+        """Rows of the names that may reach the threshold with this one."""
+        matched = np.ceil(_T * (len(name) + self.lengths) / 2 - 1e-9).astype(np.int64)
+        spare, other = len(name) - matched, self.lengths - matched
+        needed = matched - 1 - spare - other
+        common = np.zeros(len(self.lengths), np.int64)
+        for place in range(len(name) - 1):
+            rows, places = self.postings.get(name[place:place + 2], (None, None))
+            if rows is None:
+                continue
+            shift = places - place
+            near = rows[(shift <= other[rows]) & (-shift <= spare[rows])]
+            # Rows of a posting are ascending: a name counts once for each bigram of the asked one.
+            common[near[np.flatnonzero(np.diff(near, prepend=-1))]] += 1
+        return np.flatnonzero((common >= needed) & (spare >= 0) & (other >= 0))
 
 
 def _best_of_block(names: pd.DataFrame, golden: pd.DataFrame) -> pd.DataFrame:
     """Best k golden rows of this block for each of its names."""
     out = []
     if len(names) and len(golden):
-        counts = letter_counts(golden["golden_name"])
-        lengths = golden["golden_name"].str.len().to_numpy()
-        name_counts = letter_counts(names["name"])
-        for i, name in enumerate(names["name"]):
+        known = golden["golden_name"].tolist()
+        index = GramIndex(known)
+        issuers, positions = golden["issuer"].tolist(), golden["position"].tolist()
+        for name in names["name"]:
             scored = []
-            for j in candidates(name_counts[i], len(name), counts, lengths):
-                score = ratio(name, golden["golden_name"].iat[j])
+            for j in index.candidates(name):
+                score = ratio(name, known[j])
                 if score >= _T:
-                    scored.append((-score, golden["issuer"].iat[j], int(golden["position"].iat[j])))
+                    scored.append((-score, issuers[j], int(positions[j])))
             for score, issuer, position in sorted(scored)[: vocab.FUZZY_TOP]:
                 out.append((name, -score, issuer, position))
     return pd.DataFrame(out, columns=["name", "score", "issuer", "position"])
@@ -127,6 +151,10 @@ def possible_matches(records: DataFrame, golden: Golden) -> DataFrame:
         "reference_validation.reference_record is null and size(reference_validation.conflicts) = 0 "
         "and key_issuer is not null"
     ).select("document_id", F.col("key_issuer").alias("name"))
+    # Read twice below: written once, the lookups behind it run once.
+    path = scratch_path(records.sparkSession, "open-names")
+    open_.write.parquet(path)
+    open_ = records.sparkSession.read.schema(open_.schema).parquet(path)
     return salted_join(open_, suggestions(open_.select("name"), golden), ["name"], ["document_id"], "inner").drop("name")
 
 

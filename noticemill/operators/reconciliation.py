@@ -86,9 +86,10 @@ def reference_matches(records: DataFrame, golden: Golden) -> DataFrame:
     return matched
 
 
-def share_class_counts(records: DataFrame, golden: Golden) -> DataFrame:
-    counts = golden.hits("share_class").drop("hit_share_class")
-    return lookup_join(with_keys(records), counts, ["key_share_class"], ["document_id"], golden.small)
+def share_class_matches(records: DataFrame, golden: Golden) -> DataFrame:
+    """(document_id, key_share_class, count_share_class, hit_share_class): golden rows of the document's share class."""
+    keys = with_keys(records).select("document_id", "key_share_class")
+    return lookup_join(keys, golden.hits("share_class"), ["key_share_class"], ["document_id"], golden.small)
 
 
 _UNIQUE = "if(count_{0} = 1, hit_{0}, null)"

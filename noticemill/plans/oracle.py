@@ -436,7 +436,10 @@ _REF = {
 _RV = ("fields", "ngolden")
 _FIVE = [("issuer", "issuer", "issuer"), ("cnpj", "cnpj", "cnpj"), ("isin", "isin", "isin"), ("ticker", "ticker", "ticker"),
          ("share_class", "class", "share_class")]
-O["reference_matches"] = S("select * from hit", *_RV, extra=_REF)
+O["reference_matches"] = S(
+    """select document_id, identifier, n, cast(position as varchar) as position from (select * from hit
+     union all select document_id, 'share_class', count(*), case when count(*) = 1 then min(g.k) end
+     from nk join ngolden g on n_class = k_class group by document_id)""", *_RV, extra=_REF)
 O["reference_select"] = S("select document_id, cast(position as varchar) as position, strong_conflict from sel", *_RV, extra=_REF)
 O["reference_strong_conflict"] = S(
     """select c.document_id, 'REF_STRONG_IDENTIFIER_CONFLICT' as code, '{"isin":"' || c.isin || '","cnpj":"' || c.cnpj || '"}' as observed,
@@ -453,6 +456,28 @@ O["reference_lookup"] = S(
       and coalesce(m_ticker, true) and coalesce(m_class, true) as exact_match, rtrim({_BY}, '|') as matched_by, g_issuer as issuer,
      case when strong_conflict then 'REF_STRONG_IDENTIFIER_CONFLICT' else rtrim({_CF}, '|') end as conflicts from cmpx""", *_RV, extra=_REF)
 O["unmatched_notices"] = S("select document_id from sel where position is null", *_RV, extra=_REF)
+# The sequence ratio: the longest common block (first in a, then in b), and again to its left and right. A segment is a
+# pair of strings with the length of the block that cut it off its left neighbour; the sum over all segments is M.
+_BLOCK = """list_max(flatten(list_transform(range(1, length(a) + 1), lambda i: list_transform(
+  list_filter(range(1, length(b) + 1), lambda j: substr(b, j, 1) = substr(a, i, 1)), lambda j: {'l': len(list_filter(
+  range(1, least(length(a) - i, length(b) - j) + 2), lambda l: substr(a, i, l) = substr(b, j, l))), 'i': -i, 'j': -j}))))"""
+_FUZZY = {
+    "open_names": """select n.document_id, k_issuer as name from nk n join sel s on s.document_id = n.document_id
+      where s.position is null and not strong_conflict and k_issuer is not null""",
+    "pairs": f"""select row_number() over () as p, o.name, g.n_issuer as other, g.issuer, g.k from (select distinct name from open_names) o
+      join ngolden g on 2.0 * least(length(o.name), length(g.n_issuer)) >= {vocab.FUZZY_THRESHOLD} * (length(o.name) + length(g.n_issuer)) - 1e-9""",
+    "seg": f"""select p, name as a, other as b, cast(0 as bigint) as m from pairs
+      union all select p, t.a, t.b, t.m from (select p, unnest([
+        {{'a': substr(a, 1, -x.i - 1), 'b': substr(b, 1, -x.j - 1), 'm': cast(x.l as bigint)}},
+        {{'a': substr(a, -x.i + x.l), 'b': substr(b, -x.j + x.l), 'm': cast(0 as bigint)}}]) as t
+       from (select p, a, b, {_BLOCK} as x from seg where a <> '' and b <> '') where x is not null)""",
+    "scored": """select q.name, q.issuer, q.k, 2.0::double * sum(s.m) / (length(q.name) + length(q.other)) as score
+      from seg s join pairs q on q.p = s.p group by q.p, q.name, q.other, q.issuer, q.k""",
+    "best": f"""select *, row_number() over (partition by name order by score desc, issuer, k) as rank from scored where score >= {vocab.FUZZY_THRESHOLD}""",
+}
+O["fuzzy_candidates"] = S(
+    f"""select o.document_id, cast(b.rank as integer) as rank, b.score, b.issuer, b.k as position from open_names o join best b on b.name = o.name
+     where b.rank <= {vocab.FUZZY_TOP}""", *_RV, extra={**_REF, **_FUZZY}, recursive=True)
 O["reference_enrichment"] = S(
     "select document_id, path, value, status, origin from lf where ord < 7", "lf")
 O["reference_rules"] = S(

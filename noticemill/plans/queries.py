@@ -604,13 +604,15 @@ def _matched(spark, d):
 
 @query("reference_matches")
 def _(spark, d):
-    counts = ", ".join(
-        f"'{i}', coalesce(count_{i}, 0), if(count_{i} = 1, hit_{i}.position, null)"
-        for i in ("issuer", "cnpj", "isin", "ticker")
-    )
-    return _matched(spark, d).select(
-        "document_id", F.expr(f"stack(4, {counts}) as (identifier, n, position)")
-    ).withColumn("n", F.col("n").cast("long")).where("n > 0")
+    golden, records = golden_of(spark, d), samples.identifier_records(spark, d)
+
+    def counted(matches: DataFrame, identifiers: list[str]) -> DataFrame:
+        parts = ", ".join(f"'{i}', coalesce(count_{i}, 0), if(count_{i} = 1, cast(hit_{i}.position as string), null)" for i in identifiers)
+        rows = matches.select("document_id", F.expr(f"stack({len(identifiers)}, {parts}) as (identifier, n, position)"))
+        return rows.withColumn("n", F.col("n").cast("long")).where("n > 0")
+
+    four = counted(reconciliation.reference_matches(records, golden), ["issuer", "cnpj", "isin", "ticker"])
+    return four.unionByName(counted(reconciliation.share_class_matches(records, golden), ["share_class"]))
 
 
 @query("reference_select")

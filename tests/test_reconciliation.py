@@ -82,6 +82,19 @@ def test_suggestions_equal_brute_force(spark, monkeypatch):
         assert got.get(name, []) == brute(name, base), name
 
 
+def test_gram_index_loses_no_name_that_reaches_the_threshold():
+    rng = random.Random(11)
+    names = ["".join(rng.choice("abc ") for _ in range(rng.randint(1, 24))) for _ in range(400)]
+    names += [n[:k] + rng.choice("abd") + n[k + 1:] for n in names for k in (len(n) // 2,)]
+    index = fuzzy.GramIndex(names)
+    kept = 0
+    for asked in names[:60]:
+        found = set(index.candidates(asked).tolist())
+        assert {j for j, n in enumerate(names) if fuzzy.ratio(asked, n) >= fuzzy._T} <= found
+        kept += len(found)
+    assert kept < 60 * len(names) * 0.6
+
+
 def test_suggestions_only_without_a_confirmed_row(spark):
     golden = rc.prepare_golden(golden_frame(spark))
     close = record_frame(spark, {"issuer_name": given("Companhia Alfa Brasil S.A.")})
