@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 BROADCAST_BYTES = 64 * 1024 * 1024
 SALTS = 16
+# Frequent keys a sketch tells apart at most, and rows below which no key is worth salting.
+MOST_HOT = 1000
+HOT_ROWS = 10_000
 
 
 def fits_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
@@ -40,6 +43,37 @@ def salted_join(
     return salted_facts.join(salted_dim, on + ["_salt"], how).drop("_salt")
 
 
+def hot_keys(facts: DataFrame, on: list[str], parts: int | None = None) -> list[int]:
+    """Hashes of the keys that hold more than a quarter of a shuffle partition's share of the rows.
+
+    A top-k sketch merged map-side; at most four times as many keys as there are partitions can be that frequent, so
+    the list is bounded.  The sketch may overstate a count: a key salted without need costs a few copies of one row.
+    """
+    if parts is None:
+        parts = int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    most = min(4 * parts, MOST_HOT)
+    hashed = facts.where(" and ".join(f"{c} is not null" for c in on)).select(F.xxhash64(*on).alias("_h"))
+    found = hashed.agg(F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k(_h, {most}, {10 * most})").alias("top")).first()
+    return [item["item"] for item in found["top"] or [] if item["count"] * most > found["n"] and item["count"] > HOT_ROWS]
+
+
+def hot_join(
+    facts: DataFrame, dim: DataFrame, on: list[str], spread: list[str], how: str = "left", hot: list[int] | None = None,
+) -> DataFrame:
+    """Join where a few keys hold very many fact rows: only rows of the hot keys are salted, and only the dim rows of
+    these keys are repeated.  All other rows of ``dim`` are shuffled once.  facts should be cheap to read twice."""
+    if hot is None:
+        hot = hot_keys(facts, on)
+    if not hot:
+        return facts.join(dim, on, how)
+    salts = max(SALTS, int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8)
+    is_hot = F.xxhash64(*on).isin(hot)
+    salt = F.when(is_hot, F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")).otherwise(0)
+    copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    salted_dim = dim.withColumn("_salt", F.explode(copies))
+    return facts.withColumn("_salt", salt).join(salted_dim, on + ["_salt"], how).drop("_salt")
+
+
 def lookup_join(
     facts: DataFrame,
     dim: DataFrame,

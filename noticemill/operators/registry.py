@@ -97,8 +97,16 @@ def history_snapshot(spark: SparkSession, path: str, history: DataFrame) -> Late
     return LatestTable(spark, path, history.schema, "sha", ["created_at", "seq"])
 
 
-def backfill(registry: DataFrame, latest: DataFrame) -> DataFrame:
-    """Rebuild missing registry rows; known keys stay as they are.
+def backfill(registry: DataFrame, log: DataFrame) -> DataFrame:
+    """Rebuild missing registry rows from the whole history; known keys stay as they are."""
+    usable = usable_history(log)
+    row = F.struct(*[c for c in usable.columns if c != "sha"])
+    latest = usable.groupBy("sha").agg(F.max_by(row, F.struct("created_at", "seq")).alias("_a")).select("sha", "_a.*")
+    return backfill_from(registry, latest)
+
+
+def backfill_from(registry: DataFrame, latest: DataFrame) -> DataFrame:
+    """Rebuild missing registry rows from a snapshot of the history; known keys stay as they are.
 
     latest: the newest usable artifact per content, as a history_snapshot gives it after it has taken what the log has
     gained. The log itself is not read again.

@@ -236,7 +236,7 @@ def _(spark, d):
     # The log grows in three parts; each is added to the snapshot once.
     for epoch in range(3):
         snapshot.upsert(history.where(f"seq % 3 = {epoch}"), epoch)
-    after = reg.backfill(known, snapshot.read())
+    after = reg.backfill_from(known, snapshot.read())
     return after.select(
         "document_id", "original_file_name", "processing_state", "latest_processing_status",
         F.col("revision").cast("long").alias("revision"), "processed_at",

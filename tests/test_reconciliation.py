@@ -114,6 +114,20 @@ def test_salted_join_keeps_every_row(spark):
     assert scale.salted_join(facts, dim, ["k"], ["id"], "left_anti").count() == 1000 - 335
 
 
+def test_hot_join_salts_frequent_keys_alone(spark, monkeypatch):
+    monkeypatch.setattr(scale, "HOT_ROWS", 50)
+    facts = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 7 == 0, None).otherwise(
+        F.col("id").cast("string")).alias("k"))
+    dim = spark.range(3000).select(F.when(F.col("id") == 0, "hot").otherwise(F.col("id").cast("string")).alias("k"), F.col("id").alias("v"))
+    hot = scale.hot_keys(facts, ["k"])
+    assert hot == [spark.sql("select xxhash64('hot')").first()[0]]
+    for how in ("left", "inner", "left_anti", "left_semi"):
+        joined, plain = scale.hot_join(facts, dim, ["k"], ["id"], how), facts.join(dim, ["k"], how)
+        assert joined.columns == plain.columns
+        assert joined.exceptAll(plain).count() == 0 and plain.exceptAll(joined).count() == 0
+    assert scale.hot_join(facts, dim, ["k"], ["id"]).where("k = 'hot'").count() == 1000
+
+
 def test_size_check(spark):
     assert scale.fits_broadcast(golden_frame(spark))
     assert not scale.fits_broadcast(golden_frame(spark), limit=100)
