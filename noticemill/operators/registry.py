@@ -6,10 +6,10 @@ latest_processing_status, latest_payload, revision, processed_at.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticemill.functions.scale import block_of, running_total
+from noticemill.session import scratch_path
 from noticemill.sources.latest import LatestTable
 
 COLUMNS = [
@@ -17,7 +17,8 @@ COLUMNS = [
     "latest_payload", "revision", "processed_at",
 ]
 ID_PATTERN = "^sha256:[0-9a-f]{64}$"
-DAY_SECONDS = 86_400
+# Actions composed at a time.
+CHUNK_ROWS = 1024
 
 
 def apply_claims(registry: DataFrame, claims: DataFrame) -> DataFrame:
@@ -145,29 +146,54 @@ def get_document(registry: DataFrame, document_id: str) -> DataFrame:
     )
 
 
+# What an action does to each state, as (next state, revisions added); states: none, PROCESSING, COMPLETED, FAILED.
+STATES = [None, "PROCESSING", "COMPLETED", "FAILED"]
+STEPS = {
+    "CLAIM": [(1, 1), (1, 0), (2, 0), (1, 1)],
+    "FORCE": [(1, 1), (1, 0), (1, 1), (1, 1)],
+    "RESULT_OK": [(2, 1), (2, 0), (2, 0), (2, 0)],
+    "RESULT_FAIL": [(3, 1), (3, 0), (3, 0), (3, 0)],
+}
+UNCHANGED = [(0, 0), (1, 0), (2, 0), (3, 0)]
+STEP_TYPE = "array<struct<s:int,r:int>>"
+
+
+def _step(rows: list[tuple[int, int]]) -> Column:
+    return F.array(*[F.struct(F.lit(s).alias("s"), F.lit(r).alias("r")) for s, r in rows]).cast(STEP_TYPE)
+
+
+def _composed(steps: Column) -> Column:
+    """One step that does what the array of (order..., f) does in its order."""
+
+    def then(done: Column, row: Column) -> Column:
+        return F.transform(done, lambda x: F.struct(
+            F.get(row["f"], x["s"])["s"].alias("s"), (x["r"] + F.get(row["f"], x["s"])["r"]).alias("r")))
+
+    return F.aggregate(F.array_sort(steps), _step(UNCHANGED), then)
+
+
 def replay(log: DataFrame) -> DataFrame:
     """Final state and revision per key of an action log (seq, ts, doc_key, action).
 
-    Results split a key's history into segments.  Inside a segment at most one
-    claim is accepted: any claim before the first result or after a failure, a
-    forced one after a success.  So a replay is a segment number (a running
-    count by time blocks) and two aggregations, never a per-key loop.
+    An action maps each of the four states to the next one, and such maps compose associatively.  The log is dealt by
+    ranges of (key, time, sequence), so a key with a large share of it, within one day as well, lies in many tasks;
+    maps are composed over chunks of CHUNK_ROWS actions, then over the chunks of a range, then over the ranges of a
+    key.  No task holds more of a key than a chunk, the chunks of a range, or one row per range.
+    Actions of other names change nothing.
     """
-    is_result = F.col("action").startswith("RESULT").cast("int")
-    block = block_of(F.unix_seconds("ts"), DAY_SECONDS)
-    numbered = running_total(log, ["doc_key"], ["ts", "seq"], block, is_result, "segment")
-    segments = numbered.groupBy("doc_key", "segment").agg(
-        F.expr("max(action) filter (where startswith(action, 'RESULT'))").alias("result"),
-        F.expr("count_if(action = 'FORCE') > 0").alias("forced"),
-        F.expr("count_if(action in ('CLAIM', 'FORCE')) > 0").alias("claimed"),
-    )
-    state = segments.withColumn(
-        "accepted", F.expr("if(result = 'RESULT_OK', forced, claimed)")
-    )
-    return state.groupBy("doc_key").agg(
-        (F.lit(1) + F.count_if(F.expr("accepted and result is not null"))).cast("int").alias("revision"),
-        F.expr(
-            "max_by(case when accepted then 'PROCESSING' when result = 'RESULT_OK' then 'COMPLETED' "
-            "else 'FAILED' end, segment)"
-        ).alias("state"),
-    )
+    spark = log.sparkSession
+    ordered = log.select("doc_key", "ts", "seq", "action").repartitionByRange("doc_key", "ts", "seq").sortWithinPartitions(
+        "doc_key", "ts", "seq")
+    path = scratch_path(spark, "ordered-log")
+    # The id holds the range in its upper bits and the place within it in the lower 33.
+    placed = ordered.withColumn("place", F.monotonically_increasing_id())
+    placed.select("doc_key", "action", "place").write.parquet(path)
+    rows = spark.read.schema("doc_key " + log.schema["doc_key"].dataType.simpleString() + ", action string, place long").parquet(path)
+    step = F.coalesce(*[F.when(F.col("action") == name, _step(way)) for name, way in STEPS.items()], _step(UNCHANGED))
+    part, chunk = F.shiftright("place", 33), F.floor(F.col("place") / CHUNK_ROWS)
+    chunks = rows.groupBy("doc_key", part.alias("part"), chunk.alias("chunk")).agg(
+        _composed(F.collect_list(F.struct("place", step.alias("f")))).alias("f"))
+    parts = chunks.groupBy("doc_key", "part").agg(_composed(F.collect_list(F.struct("chunk", "f"))).alias("f"))
+    whole = parts.groupBy("doc_key").agg(_composed(F.collect_list(F.struct("part", "f"))).alias("f"))
+    names = F.array(*[F.lit(n).cast("string") for n in STATES])
+    return whole.select("doc_key", F.get("f", F.lit(0))["r"].alias("revision"), F.get(names, F.get("f", F.lit(0))["s"]).alias("state"))

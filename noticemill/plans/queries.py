@@ -29,7 +29,7 @@ from noticemill.operators import (
 )
 from noticemill.plans import pipeline, samples
 from noticemill.session import prepare, scratch_path
-from noticemill.sources import derived, sinks
+from noticemill.sources import derived, json_files, sinks
 from noticemill.sources.golden import golden_duplicates, read_golden
 from noticemill.sources.pages import as_pages, read_pages
 from noticemill.streaming import jobs
@@ -110,15 +110,17 @@ def _(spark, d):
 
 @query("sink_document_json")
 def _(spark, d):
-    payload = sinks.to_document_json(routed(spark, d))
+    path = scratch_path(spark, "documents")
+    json_files.write_json_files(sinks.to_document_json(routed(spark, d)), path)
+    payload = json_files.read_json_files(spark, path)
 
     def at(path: str, name: str):
         return F.get_json_object("payload", path).alias(name)
 
     return payload.select(
-        "document_id", "json_name", "processing_status", at("$.schema_version", "schema_version"),
-        at("$.source_document.file_name", "file_name"), at("$.security.ticker.value", "ticker"),
-        at("$.corporate_action.dates.record_date.value", "record_date"),
+        at("$.document_id", "document_id"), "json_name", at("$.processing_status", "processing_status"),
+        at("$.schema_version", "schema_version"), at("$.source_document.file_name", "file_name"),
+        at("$.security.ticker.value", "ticker"), at("$.corporate_action.dates.record_date.value", "record_date"),
         at("$.corporate_action.financials.gross_amount_per_share.value", "gross"),
         at("$.corporate_action.financials.ratio.value.denominator", "ratio_denominator"),
         at("$.document_confidence.score", "score"),
