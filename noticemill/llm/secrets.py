@@ -16,6 +16,8 @@ RULES = [
     ("access", r"AKIA[A-Z0-9]+", 0, 16),
     ("hex", r"[0-9a-f]+", 0, 32),
 ]
+# A greedy run that is long enough is found by its least length as well; shorter runs, which are dropped, are not built.
+LONG_RUNS = {"access": r"AKIA[A-Z0-9]{12,}", "hex": r"[0-9a-f]{32,}"}
 RULE_VERSION = 1
 # What a text must contain for a rule to be worth running; each rule's matches contain it.
 HINTS = {"assign": r"(?i)(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]", "access": r"AKIA[A-Z0-9]{12}", "hex": r"[0-9a-f]{32}"}
@@ -27,6 +29,7 @@ def _spans(text: Column, kind: str, pattern: str, group: int, least: int, order:
 
     split() and regexp_extract_all() walk the same matches from the left, so piece i stands before match i.
     """
+    pattern = LONG_RUNS.get(kind, pattern)
     pieces = F.split(text, pattern, -1)
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     measured = whole if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
@@ -41,11 +44,11 @@ def _spans(text: Column, kind: str, pattern: str, group: int, least: int, order:
         end = (begin + row["long"]).cast("int")
         hit = F.struct(begin.alias("start"), F.lit(order).alias("ord"), end.alias("end"), F.lit(kind).alias("kind"),
                        row["body"].cast("int").alias("body"))
-        return F.struct(end.alias("at"), F.concat(state["found"], F.array(hit)).alias("found"))
+        longer = F.when(row["body"] >= least, F.concat(state["found"], F.array(hit))).otherwise(state["found"])
+        return F.struct(end.alias("at"), longer.alias("found"))
 
     every = F.aggregate(rows, start, step, lambda state: state["found"])
-    return F.when(F.coalesce(text.rlike(HINTS[kind]), F.lit(False)),
-                  F.filter(every, lambda s: s["body"] >= least)).otherwise(empty)
+    return F.when(F.coalesce(text.rlike(HINTS[kind]), F.lit(False)), every).otherwise(empty)
 
 
 def find_spans(text: Column) -> Column:

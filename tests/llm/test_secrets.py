@@ -95,3 +95,14 @@ def test_redaction_replaces_merged_spans_and_keeps_columns(spark):
     assert sorted((r.text for r in rows if r.doc_id == 20)) == sorted(map(redacted, CASES))
     assert all(r.n_chars == (len(r.text) if secrets.MARK in r.text else -1) for r in rows if r.doc_id == 20)
     assert sorted(str(r.text) for r in rows if r.doc_id != 20) == sorted(str(d[1]) for d in data if d[0] != 20)
+
+
+def test_many_runs_in_one_text_take_time_in_proportion(spark):
+    """200,000 short runs around two secrets: dropped matches are not gathered."""
+    secret = "0123456789abcdef" * 2
+    text = "ab c0 fe x " * 66_000 + secret + " AKIA1 " * 2_000 + "AKIA" + "Q" * 12 + " g" + secret + "0 "
+    rows = secrets.secret_digest(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    begin = 11 * 66_000
+    later = begin + 32 + 7 * 2_000
+    assert (rows[0]["n_assign"], rows[0]["n_access"], rows[0]["n_hex"]) == (0, 1, 2)
+    assert rows[0]["spans"] == f"hex:{begin}:{begin + 32},access:{later}:{later + 16},hex:{later + 18}:{later + 51}"
