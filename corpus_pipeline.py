@@ -32,8 +32,10 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document's pieces with their bin, its capacity and their offset in it."""
-    return packing.pack_texts(docs)
+    """Every document's pieces with their bin, its capacity and their offset in it; lengths are token ids and an end id."""
+    import public_tokenizers
+
+    return packing.pack_texts(docs, tokenizer=public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES = [
