@@ -1,7 +1,9 @@
 import random
 
 import corpus_pipeline
+import public_tokenizers
 from llm_cases import nasty, rows, table, words
+from tokenizers import Tokenizer
 
 from noticemill.llm import packing, secrets
 
@@ -44,6 +46,7 @@ def test_each_stage_takes_effect_on_what_is_left(spark, tmp_path):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     columns = docs.columns
     left = set(texts)
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     for (name, function), gone in zip(corpus_pipeline.STAGES, (toxic, copies, leaks, set(), set())):
         out = function(spark, docs, sf)
         path = str(tmp_path / f"out-{name}")
@@ -56,7 +59,8 @@ def test_each_stage_takes_effect_on_what_is_left(spark, tmp_path):
         if name == "secret_scan":
             found = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
             assert all(found[i] == (texts[i].replace("password=hunter2hunter2", secrets.MARK) if i in secret else texts[i]) for i in left)
-            want = {i: len(found[i].split()) + 1 for i in left}
+            # Lengths are the tokenizer's ids and one end id.
+            want = {i: len(tokenizer.encode(found[i], add_special_tokens=False).ids) + 1 for i in left}
     packed = docs.collect()
     assert {r.doc_id: r.n_tokens for r in packed} == want
     assert all(r.fill <= r.capacity and r.capacity in packing.CAPACITIES for r in packed)
