@@ -62,11 +62,32 @@ def test_features_are_those_of_a_plain_walk():
 
 
 def test_learner_minimises_on_separable_data():
-    examples = [(i, float(i % 2), np.array([1 if i % 2 else 2, 3, 1 << 20], np.int32)) for i in range(400)]
-    bias, w = toxicity._learn(examples, 20, 3)
+    labels = np.arange(400) % 2.0
+    own = np.stack([np.where(labels > 0, 1, 2), np.full(400, 3)], axis=1).ravel().astype(np.int32)
+    bias, w = toxicity._learn(own, np.arange(0, 801, 2), labels, 20, 3)
     assert w[1] > 0.5 and w[2] < -0.5 and np.count_nonzero(w) <= 3
 
 
+def test_streams_in_one_partition_learn_apart(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "ROWS_PER_LEARNER", 40)
+    texts, labels = corpus(700, 8)
+    docs, known = table(spark, rows(texts)), label_table(spark, labels)
+    model = toxicity.train(docs, known)
+    use = sorted((i, y) for i, y in labels if not out(i))
+    streams = -(-len(use) // 40)
+    ids = spark.createDataFrame([(i,) for i, _ in use], "doc_id long")
+    dealt = dict(ids.select("doc_id", F.pmod(F.xxhash64(F.lit(12), "doc_id"), F.lit(streams))).collect())
+    total, bias = np.zeros(1 << toxicity.BITS), 0.0
+    for stream in set(dealt.values()):
+        own = [(i, y) for i, y in use if dealt[i] == stream]
+        found = [np.unique(toxicity.features(pa.array([texts[i][1]]))[1]) for i, _ in own]
+        cuts = np.concatenate([[0], np.cumsum([len(f) for f in found])])
+        b, w = toxicity._learn(np.concatenate(found), cuts, np.array([y for _, y in own], float), toxicity.BITS, toxicity.EPOCHS)
+        total, bias = total + w, bias + b
+    learners = len(set(dealt.values()))
+    assert np.allclose(model.weights, total / learners) and np.isclose(model.bias, bias / learners)
+
+
 def test_nasty_rows_no_labels_and_empty_tables(spark):
     data = nasty()
     labels = [(1, 1), (8, 0), (2, None), (None, 1), (9, 0), (9, 1)]
