@@ -87,13 +87,17 @@ def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 
 def representatives(vectors: DataFrame) -> DataFrame:
-    """Usable vectors, equal ones of a label as one: rep (smallest vec_id), copies, label, dim, vector."""
+    """Usable vectors, equal ones of a label as one: rep (a number of its own), first (smallest vec_id), copies, label, vector.
+
+    The number is not vec_id, which different vectors may share. It holds for one evaluation: write the table to use it.
+    """
     usable = vectors.select(
         F.col("vec_id").cast("long").alias("vec_id"), F.col("label").alias("label"), F.col("embedding").cast("array<double>").alias("vector"))
     usable = usable.where("label is not null and vec_id is not null and vector is not null and size(vector) > 0")
     usable = usable.where(F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
     usable = usable.where(F.exists("vector", lambda x: x != 0))
-    return usable.groupBy("label", "vector").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
+    alike = usable.groupBy("label", "vector").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"))
+    return alike.withColumn("rep", F.monotonically_increasing_id())
 
 
 def _projected(reps: DataFrame, seed: int) -> DataFrame:
@@ -113,7 +117,7 @@ def _projected(reps: DataFrame, seed: int) -> DataFrame:
                                    pa.array(unit, pa.list_(pa.float64())), pa.array(cut, pa.list_(pa.float64()))],
                                   ["rep", "copies", "label", "dim", "unit", "cut"])
 
-    return reps.mapInArrow(run, "rep long, copies long, label string, dim int, unit array<double>, cut array<double>")
+    return reps.select("rep", "copies", "label", "vector").mapInArrow(run, "rep long, copies long, label string, dim int, unit array<double>, cut array<double>")
 
 
 _kept: dict = {}
@@ -210,15 +214,19 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, seed: int
     Only vectors of equal, non-null labels and equal length are compared. A vector that is null, empty, zero or holds a
     null or a number that is not finite links with nothing and is its own component; so is one with a null label. A null
     vec_id gets no links, a null component and kept null. Equal vectors are compared as one and count as links of each
-    other. Returns one row per input row: vec_id, n_links, component_id, kept.
+    other. Rows that share a vec_id but not the vector are vectors of their own. Returns one row per input row: vec_id,
+    n_links, component_id, kept.
     """
-    reps = representatives(vectors)
+    reps, _ = stage(representatives(vectors), "representatives")
     points, _ = stage(_projected(reps, seed), "points")
     found, _ = stage(near_links(points, threshold, seed), "near")
     trees = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    of_rep = points.select("rep", "copies").join(counts, "rep", "left").join(trees.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "rep", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
+    placed = reps.select("rep", "first", "copies").join(counts, "rep", "left").join(trees.withColumnRenamed("node", "rep"), "rep", "left")
+    placed = placed.select("rep", "first", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
+                           F.coalesce("component", "rep").alias("root"))
+    smallest = placed.groupBy("root").agg(F.min("first").alias("component"))
+    of_rep = placed.join(smallest, "root").select("rep", "n_links", "component")
     # The representative of each vector, found again by its value.
     keyed = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").alias("label"),
                            F.col("embedding").cast("array<double>").alias("vector"))

@@ -77,6 +77,12 @@ def test_odd_vectors(spark):
     assert found(spark, ODD) == brute(ODD)
 
 
+def test_vectors_that_share_an_id_stay_apart(spark):
+    a, b, c = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]
+    rows = [(7, a, 0), (7, b, 0), (7, a, 1), (9, [1.0, 0.01, 0.0], 0), (3, [0.01, 1.0, 0.0], 0), (4, c, 0), (4, c, 0), (7, b, 0)]
+    assert found(spark, rows) == brute(rows)
+
+
 def test_empty_table(spark):
     assert found(spark, []) == []
 
