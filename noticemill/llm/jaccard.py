@@ -7,7 +7,8 @@ for all points of a tree node. Pairs the bound leaves are verified on their shin
 A single tree over the corpus would compare everything with everything, since unlike documents lie equally far apart.
 So the first level of the tree uses the groups' contents: two documents that differ in at most t shingles have the same
 shingles in one of any t + 1 groups. Documents are dealt to buckets by the contents of their groups, and no link is lost;
-boxes over count vectors prune inside a bucket.
+boxes over count vectors prune inside a bucket. Pairs are bounded and verified inside a task, which merges components as it goes: what
+leaves it is a row per set or a link that joins two components, never a pair for each two alike.
 """
 
 from __future__ import annotations
@@ -15,7 +16,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,8 +31,9 @@ PERCENT = 80
 SMALL = 16
 STEP = 1.5
 LEAF = 32
-FEW = 32
-BUCKET_ROWS = 4096
+# Rows and shingles of a chunk; a task compares two chunks of a bucket.
+BUCKET_ROWS = 2048
+BUCKET_SHINGLES = 1 << 21
 # Ids of documents whose texts are verified are broadcast up to so many (about 100 MB), and joined by a shuffle beyond.
 MOST_BROADCAST = 2_000_000
 TAG, GONE_ID, GONE_SET, STAYS = "__noticemill_set", "__noticemill_gone_id", "__noticemill_gone_set", "__noticemill_stays"
@@ -134,13 +135,16 @@ class Node:
             self.parts = [Node(order[:half], vectors, sizes, component), Node(order[half:], vectors, sizes, component)]
 
 
-def tree_join(vectors: np.ndarray, sizes: np.ndarray, component: np.ndarray, left: np.ndarray, right: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of unequal components that the summed minima leave: of `left` and `right`, or within `left`."""
+def tree_blocks(vectors: np.ndarray, sizes: np.ndarray, component: np.ndarray, left: np.ndarray,
+                right: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of unequal components that the summed minima leave: of `left` and `right`, or within `left`.
+
+    A block of pairs at a time; `component` may be merged between blocks, which prunes those to come.
+    """
     if not len(left) or right is not None and not len(right):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return
     a = Node(left, vectors, sizes, component)
     stack = [(a, a if right is None else Node(right, vectors, sizes, component))]
-    found_i, found_j = [], []
     while stack:
         x, y = stack.pop()
         if x.component is not None and x.component == y.component:
@@ -165,10 +169,42 @@ def tree_join(vectors: np.ndarray, sizes: np.ndarray, component: np.ndarray, lef
                     i, j = np.nonzero(ok)
                     i, j = own[i], other[j]
                     once = i < j if x is y else np.ones(len(i), bool)
-                    found_i.append(i[once])
-                    found_j.append(j[once])
+                    if once.any():
+                        yield i[once], j[once]
+
+
+def tree_join(vectors: np.ndarray, sizes: np.ndarray, component: np.ndarray, left: np.ndarray, right: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of tree_blocks()."""
+    blocks = list(tree_blocks(vectors, sizes, component, left, right))
     none = np.zeros(0, np.int64)
-    return (np.concatenate(found_i), np.concatenate(found_j)) if found_i else (none, none)
+    return (np.concatenate([i for i, _ in blocks]), np.concatenate([j for _, j in blocks])) if blocks else (none, none)
+
+
+def spanning_links(vectors: np.ndarray, sizes: np.ndarray, component: np.ndarray, left: np.ndarray, right: np.ndarray | None,
+                   sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Verified links that join components, as few as join all those that any link joins; sets: shingle hashes by row."""
+    label = np.unique(component, return_inverse=True)[1]
+    distinct, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    begins = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+    member = np.zeros(len(distinct), np.int32)
+    found = []
+    for i, j in tree_blocks(vectors, sizes, label, left, right):
+        for one in np.unique(i):
+            others = j[i == one]
+            others = others[label[others] != label[one]]
+            if not len(others):
+                continue
+            own = flat[begins[one]:begins[one + 1]]
+            member[own] = 1
+            theirs = [flat[begins[k]:begins[k + 1]] for k in others]
+            starts = np.concatenate([[0], np.cumsum([len(x) for x in theirs])[:-1]])
+            overlap = np.add.reduceat(member[np.concatenate(theirs)], starts)
+            member[own] = 0
+            for other in others[enough(overlap, sizes[one] + sizes[others])]:
+                if label[other] != label[one]:
+                    found.append((int(one), int(other)))
+                    label[label == label[other]] = label[one]
+    return found
 
 
 # ---- tables ------------------------------------------------------------------------------------------------------
@@ -322,47 +358,96 @@ def _stars(members: DataFrame) -> DataFrame:
     return best.select(F.explode(F.array_distinct(F.array("low", "most.lead"))).alias("a"), F.col("f").alias("b"))
 
 
-def _other_stars(members: DataFrame, component: DataFrame) -> DataFrame:
-    """Pairs (a, b) of a bucket's lead and a set of it that are in different components after the first round."""
-    pairs = members.select(F.col("lead").alias("a"), F.col("f").alias("b")).distinct()
-    side = lambda name: component.select(F.col("node").alias(name), F.col("component").alias(f"p_{name}"))
-    placed = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
-    return placed.where("coalesce(p_a, a) <> coalesce(p_b, b)").select("a", "b")
+def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Rows of equal keys, which come one after the other, as tables."""
+    held, last = [], None
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        columns = [batch.column(k).to_numpy() for k in keys]
+        edges = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
+        for a, b in zip(np.append(0, edges), np.append(edges, n)):
+            key = tuple(c[a] for c in columns)
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            last = key
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _points(run: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
+    """Count vectors, sizes, components and the two sides (None: one chunk with itself) of a task's rows."""
+    vectors = [np.frombuffer(c, "<u2") for c in run["counts"].to_pylist()]
+    size = min(map(len, vectors))
+    chunk, x, y = run["chunk"].to_numpy(), run["x"][0].as_py(), run["y"][0].as_py()
+    return (np.stack([fold(v, size) for v in vectors]), run["n"].to_numpy(), run["component"].to_numpy(),
+            np.flatnonzero(chunk == x), None if x == y else np.flatnonzero(chunk == y))
+
+
+TASK = ["bucket", "x", "y"]
+
 
+def _in_tasks(rows: DataFrame) -> DataFrame:
+    return rows.repartition(*TASK).sortWithinPartitions(*TASK)
 
-def _crossing(members: DataFrame, component: DataFrame, points: DataFrame) -> DataFrame:
-    """Pairs (a, b) that share a bucket, belong to different components so far, and may be links by size or the tree.
 
-    Buckets of one component, nearly all, go no further than a minimum and a maximum. The pairs of a small bucket are
-    listed at once, no more than FEW for each of its sets; a larger one is searched by its tree, cut into chunks if it
-    is large, each pair of chunks a task.
+def _suspects(members: DataFrame, component: DataFrame, points: DataFrame) -> DataFrame:
+    """Rows of buckets that the bounds leave a partner in another component: bucket, x, y, chunk, f, n, component, counts.
+
+    Buckets of one component, nearly all, go no further than a minimum and a maximum. A large bucket is cut into chunks
+    by its rows and shingles; each pair of chunks is a task.
     """
+    placed = points.select("f", "n").join(component.withColumnRenamed("node", "f"), "f", "left").select(
+        "f", "n", F.coalesce("component", "f").alias("component"))
     every = members.select("bucket", "f").unionAll(members.select("bucket", F.col("lead").alias("f")).distinct())
-    every = every.join(component.withColumnRenamed("node", "f"), "f", "left").select("bucket", "f", F.coalesce("component", "f").alias("component"))
-    mixed = every.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("rows"))
-    mixed = mixed.where("lo <> hi").select("bucket", "rows", F.ceil(F.col("rows") / BUCKET_ROWS).cast("int").alias("chunks"))
+    every = every.join(placed, "f")
+    mixed = every.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("rows"), F.sum("n").alias("shingles"))
+    mixed = mixed.where("lo <> hi").select("bucket", F.ceil(F.greatest(F.col("rows") / BUCKET_ROWS, F.col("shingles") / BUCKET_SHINGLES)).cast("int").alias("chunks"))
     left, _ = stage(every.join(mixed, "bucket"), "mixed")
-    few = left.where(F.col("rows") <= FEW).join(points.select("f", "n"), "f")
-    one, two = (few.select("bucket", F.col("f").alias(x), F.col("component").alias(f"p_{x}"), F.col("n").alias(f"n_{x}")) for x in ("a", "b"))
-    listed = one.join(two, "bucket").where(
-        f"a < b and p_a <> p_b and 100 * least(n_a, n_b) >= {PERCENT} * greatest(n_a, n_b)").select("a", "b")
-    left = left.where(F.col("rows") > FEW)
     dealt = left.withColumn("chunk", F.pmod(F.xxhash64("f"), F.col("chunks")).cast("int")).withColumn(
         "other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    dealt = dealt.select("bucket", F.least("chunk", "other").alias("x"), F.greatest("chunk", "other").alias("y"), "chunk", "f", "component")
-    dealt = dealt.join(points, "f")
+    dealt = dealt.select("bucket", F.least("chunk", "other").alias("x"), F.greatest("chunk", "other").alias("y"), "chunk", "f", "n", "component")
+    dealt = dealt.join(points.select("f", "counts"), "f").select(*TASK, "chunk", "f", "n", "component", "counts")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _runs(batches, TASK):
+            touched = np.zeros(len(rows), bool)
+            for i, j in tree_blocks(*_points(rows)):
+                touched[i] = touched[j] = True
+            if touched.any():
+                yield from rows.filter(pa.array(touched)).combine_chunks().to_batches()
+
+    return _in_tasks(dealt).mapInArrow(run, dealt.schema)
 
-    def search(frame: pd.DataFrame) -> pd.DataFrame:
-        vectors = [np.frombuffer(c, "<u2") for c in frame["counts"]]
-        size = min(map(len, vectors))
-        vectors = np.stack([fold(v, size) for v in vectors])
-        chunk, x, y = frame["chunk"].to_numpy(), int(frame["x"].iloc[0]), int(frame["y"].iloc[0])
-        right = None if x == y else np.flatnonzero(chunk == y)
-        i, j = tree_join(vectors, frame["n"].to_numpy(), frame["component"].to_numpy(), np.flatnonzero(chunk == x), right)
-        f = frame["f"].to_numpy()
-        return pd.DataFrame({"a": np.minimum(f[i], f[j]), "b": np.maximum(f[i], f[j])})
 
-    return listed.unionAll(dealt.groupBy("bucket", "x", "y").applyInPandas(search, "a long, b long")).distinct()
+def _shingle_table(texts: DataFrame) -> DataFrame:
+    """f and the shingle hashes of its set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                sets = [x.astype("<u8").tobytes() for x in _sets(part.column("text"))]
+                yield pa.record_batch([part.column("f"), pa.array(sets, pa.binary())], ["f", "shingles"])
+
+    return texts.select("f", "text").mapInArrow(run, "f long, shingles binary")
+
+
+def _joining(suspects: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) between components, verified on the shingles of the suspects of each task."""
+    sets = _shingle_table(texts.join(suspects.select("f").distinct(), "f", "left_semi"))
+    rows = suspects.join(sets, "f").select(*TASK, "chunk", "f", "n", "component", "counts", "shingles")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _runs(batches, TASK):
+            sets = [np.frombuffer(x, "<u8") for x in rows["shingles"].to_pylist()]
+            links = np.array(spanning_links(*_points(rows), sets), np.int64).reshape(-1, 2)
+            f = rows["f"].to_numpy()
+            yield pa.record_batch([pa.array(f[links[:, 0]]), pa.array(f[links[:, 1]])], ["a", "b"])
+
+    return _in_tasks(rows).mapInArrow(run, "a long, b long")
 
 
 def similar_groups(docs: DataFrame) -> DataFrame:
@@ -370,9 +455,8 @@ def similar_groups(docs: DataFrame) -> DataFrame:
 
     Returns doc_id, n (shingles), f (fingerprint of the set), root (fingerprint that names the group) and component
     (smallest doc_id reachable by links), one row per input row. Documents of equal sets are one node, so copies cost nothing. First every set is verified against two
-    others it shares buckets with and components are formed, then against the leads of its buckets that belong to
-    other components; then all pairs of a bucket that are still in different
-    components are left to the bounds and verified. So a group of near copies of any size takes a few links per document.
+    others it shares buckets with and components are formed; then the sets of a bucket that are still in different
+    components are left to the bounds, and verified with those the bounds leave a partner. So a group of near copies of any size takes a few links per document.
     Texts without words are linked with nothing. Null ids: the component is the smallest id that is not null, if any.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -385,12 +469,8 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     texts, _ = stage(_texts(rows, points.select("f", "doc_id")), "texts")
     points = points.select("f", "n", "counts")
     links, _ = stage(_verified(_bounded(stars, points), texts), "links")
-    others, _ = stage(_other_stars(members, components(links)).join(stars, ["a", "b"], "left_anti"), "other-stars")
-    more, _ = stage(links.unionAll(_verified(_bounded(others, points), texts)), "links")
-    tried = stars.unionAll(others)
-    crossing, _ = stage(_crossing(members, components(more), points).join(tried, ["a", "b"], "left_anti"), "crossing")
-    last = _verified(_bounded(crossing, points), texts)
-    node = components(more.unionAll(last)).withColumnRenamed("node", "f")
+    suspects, _ = stage(_suspects(members, components(links), points), "suspects")
+    node = components(links.unionAll(_joining(suspects, texts))).withColumnRenamed("node", "f")
     placed = table.select("doc_id", "n", "f").join(node, "f", "left").withColumn("root", F.coalesce("component", "f"))
     smallest = placed.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
     return placed.join(smallest, "root", "left").select(
