@@ -34,6 +34,8 @@ LEAF = 32
 # Rows and shingles of a chunk; a task compares two chunks of a bucket.
 BUCKET_ROWS = 2048
 BUCKET_SHINGLES = 1 << 21
+# Buckets of one smallest set are verified in one task if their sets have no more shingles than this together.
+TASK_SHINGLES = 1 << 22
 # Ids of documents whose texts are verified are broadcast up to so many (about 100 MB), and joined by a shuffle beyond.
 MOST_BROADCAST = 2_000_000
 TAG, GONE_ID, GONE_SET, STAYS = "__noticemill_set", "__noticemill_gone_id", "__noticemill_gone_set", "__noticemill_stays"
@@ -180,31 +182,38 @@ def tree_join(vectors: np.ndarray, sizes: np.ndarray, component: np.ndarray, lef
     return (np.concatenate([i for i, _ in blocks]), np.concatenate([j for _, j in blocks])) if blocks else (none, none)
 
 
-def spanning_links(vectors: np.ndarray, sizes: np.ndarray, component: np.ndarray, left: np.ndarray, right: np.ndarray | None,
-                   sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Verified links that join components, as few as join all those that any link joins; sets: shingle hashes by row."""
-    label = np.unique(component, return_inverse=True)[1]
-    distinct, flat = np.unique(np.concatenate(sets), return_inverse=True)
-    begins = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
-    member = np.zeros(len(distinct), np.int32)
-    found = []
-    for i, j in tree_blocks(vectors, sizes, label, left, right):
-        for one in np.unique(i):
-            others = j[i == one]
-            others = others[label[others] != label[one]]
-            if not len(others):
-                continue
-            own = flat[begins[one]:begins[one + 1]]
-            member[own] = 1
-            theirs = [flat[begins[k]:begins[k + 1]] for k in others]
-            starts = np.concatenate([[0], np.cumsum([len(x) for x in theirs])[:-1]])
-            overlap = np.add.reduceat(member[np.concatenate(theirs)], starts)
-            member[own] = 0
-            for other in others[enough(overlap, sizes[one] + sizes[others])]:
-                if label[other] != label[one]:
-                    found.append((int(one), int(other)))
-                    label[label == label[other]] = label[one]
-    return found
+class Verifier:
+    """Sets of a task with their components; verified links merge these."""
+
+    def __init__(self, sets: list[np.ndarray], component: np.ndarray):
+        self.sizes = np.array([len(x) for x in sets], np.int64)
+        self.label = np.unique(component, return_inverse=True)[1]
+        distinct, self.flat = np.unique(np.concatenate(sets), return_inverse=True)
+        self.begins = np.concatenate([[0], np.cumsum(self.sizes)])
+        self.member = np.zeros(len(distinct), np.int32)
+
+    def joining(self, vectors: np.ndarray, rows: np.ndarray, left: np.ndarray, right: np.ndarray | None) -> Iterator[tuple[int, int]]:
+        """Links that join components, as few as join all those that any link of the given sets joins."""
+        label = self.label[rows]
+        for i, j in tree_blocks(vectors, self.sizes[rows], label, left, right):
+            for one in np.unique(i):
+                others = j[(i == one) & (label[j] != label[one])]
+                if not len(others):
+                    continue
+                own = self._shingles(rows[one])
+                self.member[own] = 1
+                theirs = [self._shingles(k) for k in rows[others]]
+                starts = np.concatenate([[0], np.cumsum([len(x) for x in theirs])[:-1]])
+                overlap = np.add.reduceat(self.member[np.concatenate(theirs)], starts)
+                self.member[own] = 0
+                for other in others[enough(overlap, self.sizes[rows[one]] + self.sizes[rows[others]])]:
+                    if label[other] != label[one]:
+                        yield int(rows[one]), int(rows[other])
+                        self.label[self.label == label[other]] = label[one]
+                        label[label == label[other]] = label[one]
+
+    def _shingles(self, row: int) -> np.ndarray:
+        return self.flat[self.begins[row]:self.begins[row + 1]]
 
 
 # ---- tables ------------------------------------------------------------------------------------------------------
@@ -378,49 +387,49 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tab
         yield pa.Table.from_batches(held)
 
 
-def _points(run: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
-    """Count vectors, sizes, components and the two sides (None: one chunk with itself) of a task's rows."""
-    vectors = [np.frombuffer(c, "<u2") for c in run["counts"].to_pylist()]
+def _stacked(counts: list[bytes]) -> np.ndarray:
+    vectors = [np.frombuffer(c, "<u2") for c in counts]
     size = min(map(len, vectors))
-    chunk, x, y = run["chunk"].to_numpy(), run["x"][0].as_py(), run["y"][0].as_py()
-    return (np.stack([fold(v, size) for v in vectors]), run["n"].to_numpy(), run["component"].to_numpy(),
-            np.flatnonzero(chunk == x), None if x == y else np.flatnonzero(chunk == y))
+    return np.stack([fold(v, size) for v in vectors])
 
 
-TASK = ["bucket", "x", "y"]
+def _sides(run: pa.Table) -> tuple[np.ndarray, np.ndarray | None]:
+    """Rows on either side of a task; None: one chunk with itself."""
+    chunk, x, y = run["chunk"].to_numpy(), run["x"][0].as_py(), run["y"][0].as_py()
+    return np.flatnonzero(chunk == x), None if x == y else np.flatnonzero(chunk == y)
 
 
-def _in_tasks(rows: DataFrame) -> DataFrame:
-    return rows.repartition(*TASK).sortWithinPartitions(*TASK)
+TASK = ["bucket", "x", "y"]
 
 
-def _suspects(members: DataFrame, component: DataFrame, points: DataFrame) -> DataFrame:
-    """Rows of buckets that the bounds leave a partner in another component: bucket, x, y, chunk, f, n, component, counts.
+def _suspects(members: DataFrame, placed: DataFrame) -> DataFrame:
+    """Rows of buckets that the bounds leave a partner in another component: bucket, x, y, chunk, f.
 
-    Buckets of one component, nearly all, go no further than a minimum and a maximum. A large bucket is cut into chunks
+    Buckets of one component, nearly all, go no further than a minimum and a maximum. Of buckets with the same sets, told
+    by two 64-bit sums, one is looked at: near copies agree in most of their groups. A large bucket is cut into chunks
     by its rows and shingles; each pair of chunks is a task.
     """
-    placed = points.select("f", "n").join(component.withColumnRenamed("node", "f"), "f", "left").select(
-        "f", "n", F.coalesce("component", "f").alias("component"))
     every = members.select("bucket", "f").unionAll(members.select("bucket", F.col("lead").alias("f")).distinct())
-    every = every.join(placed, "f")
-    mixed = every.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("rows"), F.sum("n").alias("shingles"))
-    mixed = mixed.where("lo <> hi").select("bucket", F.ceil(F.greatest(F.col("rows") / BUCKET_ROWS, F.col("shingles") / BUCKET_SHINGLES)).cast("int").alias("chunks"))
+    every = every.join(placed.select("f", "n", "component"), "f")
+    mixed = every.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("rows"), F.sum("n").alias("shingles"),
+                                        F.bit_xor(F.xxhash64("f")).alias("one"), F.bit_xor(F.xxhash64(F.lit(1), "f")).alias("two"))
+    mixed = mixed.where("lo <> hi").groupBy("rows", "shingles", "one", "two").agg(F.min("bucket").alias("bucket"))
+    mixed = mixed.select("bucket", F.ceil(F.greatest(F.col("rows") / BUCKET_ROWS, F.col("shingles") / BUCKET_SHINGLES)).cast("int").alias("chunks"))
     left, _ = stage(every.join(mixed, "bucket"), "mixed")
     dealt = left.withColumn("chunk", F.pmod(F.xxhash64("f"), F.col("chunks")).cast("int")).withColumn(
         "other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     dealt = dealt.select("bucket", F.least("chunk", "other").alias("x"), F.greatest("chunk", "other").alias("y"), "chunk", "f", "n", "component")
-    dealt = dealt.join(points.select("f", "counts"), "f").select(*TASK, "chunk", "f", "n", "component", "counts")
+    dealt = dealt.join(placed.select("f", "counts"), "f").select(*TASK, "chunk", "f", "n", "component", "counts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _runs(batches, TASK):
             touched = np.zeros(len(rows), bool)
-            for i, j in tree_blocks(*_points(rows)):
+            for i, j in tree_blocks(_stacked(rows["counts"].to_pylist()), rows["n"].to_numpy(), rows["component"].to_numpy(), *_sides(rows)):
                 touched[i] = touched[j] = True
             if touched.any():
-                yield from rows.filter(pa.array(touched)).combine_chunks().to_batches()
+                yield from rows.filter(pa.array(touched)).select([*TASK, "chunk", "f"]).combine_chunks().to_batches()
 
-    return _in_tasks(dealt).mapInArrow(run, dealt.schema)
+    return dealt.repartition(*TASK).sortWithinPartitions(*TASK).mapInArrow(run, dealt.select(*TASK, "chunk", "f").schema)
 
 
 def _shingle_table(texts: DataFrame) -> DataFrame:
@@ -435,19 +444,40 @@ def _shingle_table(texts: DataFrame) -> DataFrame:
     return texts.select("f", "text").mapInArrow(run, "f long, shingles binary")
 
 
-def _joining(suspects: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (a, b) between components, verified on the shingles of the suspects of each task."""
+def _joining(suspects: DataFrame, placed: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) between components, verified on the shingles of the suspects of each task.
+
+    Buckets overlap, and those of one smallest set (lead) most. They share a task, so that a set's shingles go there once;
+    where that would be too much for a task, each pair of chunks is its own.
+    """
+    lead = suspects.groupBy(*TASK).agg(F.min("f").alias("lead"))
+    led = suspects.join(lead, TASK)
+    weight = led.select("lead", "f").distinct().join(placed.select("f", "n"), "f").groupBy("lead").agg(F.sum("n").alias("shingles"))
+    part = F.when(F.col("shingles") <= TASK_SHINGLES, F.lit(0)).otherwise(F.xxhash64(*TASK)).cast("long")
+    led = led.join(weight, "lead").select("lead", part.alias("part"), *TASK, "chunk", "f")
     sets = _shingle_table(texts.join(suspects.select("f").distinct(), "f", "left_semi"))
-    rows = suspects.join(sets, "f").select(*TASK, "chunk", "f", "n", "component", "counts", "shingles")
+    held = led.select("lead", "part", "f").distinct().join(placed.select("f", "component", "counts"), "f").join(sets, "f")
+    rows = held.unionByName(led, allowMissingColumns=True).select("lead", "part", *TASK, "chunk", "f", "component", "counts", "shingles")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _runs(batches, TASK):
-            sets = [np.frombuffer(x, "<u8") for x in rows["shingles"].to_pylist()]
-            links = np.array(spanning_links(*_points(rows), sets), np.int64).reshape(-1, 2)
-            f = rows["f"].to_numpy()
-            yield pa.record_batch([pa.array(f[links[:, 0]]), pa.array(f[links[:, 1]])], ["a", "b"])
-
-    return _in_tasks(rows).mapInArrow(run, "a long, b long")
+        for task in _runs(batches, ["lead", "part"]):
+            # The sets stand first, without a bucket.
+            known = task.slice(0, task["bucket"].null_count)
+            f, counts = known["f"].to_numpy(), known["counts"].to_pylist()
+            verifier = Verifier([np.frombuffer(x, "<u8") for x in known["shingles"].to_pylist()], known["component"].to_numpy())
+            order = np.argsort(f)
+            a, b = [], []
+            for unit in _runs(iter(task.slice(known.num_rows).select([*TASK, "chunk", "f"]).to_batches()), TASK):
+                at = order[np.searchsorted(f[order], unit["f"].to_numpy())]
+                if (verifier.label[at] == verifier.label[at[0]]).all():
+                    continue
+                for i, j in verifier.joining(_stacked([counts[k] for k in at]), at, *_sides(unit)):
+                    a.append(f[i])
+                    b.append(f[j])
+            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    ordered = rows.repartition("lead", "part").sortWithinPartitions("lead", "part", F.col("bucket").asc_nulls_first(), "x", "y")
+    return ordered.mapInArrow(run, "a long, b long")
 
 
 def similar_groups(docs: DataFrame) -> DataFrame:
@@ -469,8 +499,10 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     texts, _ = stage(_texts(rows, points.select("f", "doc_id")), "texts")
     points = points.select("f", "n", "counts")
     links, _ = stage(_verified(_bounded(stars, points), texts), "links")
-    suspects, _ = stage(_suspects(members, components(links), points), "suspects")
-    node = components(links.unionAll(_joining(suspects, texts))).withColumnRenamed("node", "f")
+    placed = points.join(components(links).withColumnRenamed("node", "f"), "f", "left")
+    placed, _ = stage(placed.withColumn("component", F.coalesce("component", "f")), "placed")
+    suspects, _ = stage(_suspects(members, placed), "suspects")
+    node = components(links.unionAll(_joining(suspects, placed, texts))).withColumnRenamed("node", "f")
     placed = table.select("doc_id", "n", "f").join(node, "f", "left").withColumn("root", F.coalesce("component", "f"))
     smallest = placed.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
     return placed.join(smallest, "root", "left").select(
