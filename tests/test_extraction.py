@@ -4,40 +4,36 @@ from helpers import pages_frame
 from noticemill import vocab
 from noticemill.operators.extraction import extract_field, extract_notice
 
-LABELS = """COMPANHIA SERRA AZUL S.A.
-CNPJ/ME nº 41.507.930/0001-08
-Código de negociação
-SRAZ4 (ISIN BRSRAZACNPR6)
-Juros sobre o Capital Próprio (JCP)
-Data-base (“data com”)
-03/11/2025
-Data “ex-JCP”
-04/11/2025
-Valor bruto por ação preferencial (PN)
-R$ 0,0915300000
-"""
+HEAD = """VALE DO IPÊ ENERGIA S.A.
+Companhia aberta, CNPJ 07.318.254/0001-90
+O conselho propõe dividendos intercalares aos titulares de VIPE3, código ISIN BRVIPEACNOR1."""
+
+TERMS = """Data de aprovação pelo conselho: 09/04/2025
+Data-base para o direito
+12/05/2025
+Valor líquido por ação ordinária: R$ 1,37
+Data de pagamento prevista 30/05/2025"""
 
 
 def notices(spark, *pages):
     return {r.document_id: r for r in extract_notice(pages_frame(spark, list(pages))).collect()}
 
 
-def test_labels_and_values_on_separate_lines(spark):
-    r = notices(spark, ("a", 1, LABELS))["a"]
-    assert r.issuer_name.value == "COMPANHIA SERRA AZUL S.A."
-    assert r.issuer_cnpj.value == "41.507.930/0001-08"
-    assert r.event_type.value == "JCP"
-    assert r.ticker.value == "SRAZ4" and r.isin.value == "BRSRAZACNPR6"
-    assert r.record_date.value == "2025-11-03" and r.ex_date.value == "2025-11-04"
-    assert r.gross_amount_per_share.value == "0.0915300000"
-    assert r.share_class.value == "PN"
-    assert r.currency.value == "BRL"
-    assert r.approval_date.status == "UNKNOWN" and r.error is None
-    assert r.classification_evidence[0].supports == "JCP"
+def test_fields_of_two_pages_inline_and_on_separate_lines(spark):
+    r = notices(spark, ("a", 1, HEAD), ("a", 2, TERMS))["a"]
+    first = {"issuer_name": "VALE DO IPÊ ENERGIA S.A.", "issuer_cnpj": "07.318.254/0001-90", "event_type": "DIVIDEND",
+             "ticker": "VIPE3", "isin": "BRVIPEACNOR1"}
+    second = {"approval_date": "2025-04-09", "record_date": "2025-05-12", "payment_date": "2025-05-30",
+              "net_amount_per_share": "1.37", "share_class": "ON"}
+    for page, fields in ((1, first), (2, second)):
+        for name, value in fields.items():
+            assert (r[name].value, r[name].sources[0].page) == (value, page), name
+    assert r.currency.value == "BRL" and r.page_count == 2 and r.error is None
+    assert {r[name].status for name in ("ex_date", "gross_amount_per_share", "ratio")} == {"UNKNOWN"}
 
 
 def test_narrative_approval_and_upper_case(spark):
-    text = "COMPANHIA SERRA AZUL S.A.\nFica deliberado em REUNIÃO realizada em 19 de AGOSTO de 2025:\nVALOR LÍQUIDO POR AÇÃO R$ 2.075,40"
+    text = "VALE DO IPÊ ENERGIA S.A.\nFica deliberado em REUNIÃO realizada em 19 de AGOSTO de 2025:\nVALOR LÍQUIDO POR AÇÃO R$ 2.075,40"
     r = notices(spark, ("a", 1, text))["a"]
     assert r.approval_date.value == "2025-08-19"
     assert r.net_amount_per_share.value == "2075.40"
@@ -108,7 +104,7 @@ def test_pattern_literals_are_necessary(spark):
     """A page holding a match always holds one of the pattern's literals."""
     import re
 
-    text = (LABELS + "Data de aprovação 01/02/2026\nCrédito das ações bonificadas 05/06/2026\nProporção 2:1\n"
+    text = (HEAD + "\n" + TERMS + "\nJuros sobre o capital próprio (PN)\nData ex-direito 13/05/2025\nValor bruto por ação R$ 2,00\nCrédito das ações bonificadas 05/06/2026\nProporção 2:1\n"
             "Valor líquido por ação R$ 0,10\nIRRF na fonte 15%").upper()
     for name, literals in vocab.PATTERN_LITERALS.items():
         if name in vocab.CASE_SENSITIVE or name not in vocab.PATTERNS:
@@ -119,8 +115,8 @@ def test_pattern_literals_are_necessary(spark):
 
 
 def test_single_field_uses_only_its_patterns(spark):
-    frame = extract_field(pages_frame(spark, [("a", 1, LABELS)]), "isin")
+    frame = extract_field(pages_frame(spark, [("a", 1, HEAD)]), "isin")
     row = frame.first()
-    assert (row.value, row.status, row.page) == ("BRSRAZACNPR6", "EXTRACTED", 1)
+    assert (row.value, row.status, row.page) == ("BRVIPEACNOR1", "EXTRACTED", 1)
     plan = frame._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract") <= 2
