@@ -14,7 +14,8 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noticemill.llm.words import mix, slices, split_words
@@ -35,7 +36,10 @@ KEPT = 0.25
 FLOOR = 0.05
 # Share of a benchmark text's words that must stand in the passage in order, alone and with the answer found whole.
 LCS_ALONE, LCS_WITH_ANSWER = 0.75, 0.6
+# Items of fewer words have too few to be told by their share in a passage: they must stand word for word.
 SHORTEST = 6
+# Spaces that one scan of the documents compares with, by their size in memory; further ones take a scan more.
+SCAN_BYTES = 256 << 20
 
 
 def _terms(column: pa.Array):
@@ -89,6 +93,22 @@ class Space:
     items: list[Item]
     kept: np.ndarray  # float32: part of each passage's length that the latent space keeps
 
+    @property
+    def size(self) -> int:
+        return sum(a.nbytes for a in (self.row, self.weight, self.basis, self.latent, self.length, self.owner, self.kept))
+
+
+@dataclass
+class Exact:
+    """Items of fewer than SHORTEST words by the hash of their whole sequence."""
+    keys: dict[int, np.ndarray]  # by number of words: hashes, ascending
+    numbers: dict[int, np.ndarray]  # item of each of these
+    items: list[Item]
+
+
+# A verified match: (text, item, first word of the passage, cosine, common words, answer found).
+Match = tuple[int, int, int, float, int, bool]
+
 
 def _items(rows: list) -> list[Item]:
     """Items with a word; the answer is the item's own, or else its last sentence of at least two words."""
@@ -106,8 +126,25 @@ def _items(rows: list) -> list[Item]:
     return made
 
 
-def _document_frequency(docs: DataFrame, row: np.ndarray, size: int) -> tuple[np.ndarray, int]:
-    """Number of half passages of the whole corpus with each of the benchmark's words, and of all half passages."""
+def _features(benchmark: DataFrame) -> np.ndarray:
+    """Feature numbers of all words of the benchmark; at most 2**BITS come back."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(1 << BITS, bool)
+        for batch in batches:
+            for part in slices(batch, "text"):
+                seen[_terms(part.column("text"))[1]] = True
+        yield pa.record_batch([pa.array(np.flatnonzero(seen))], ["feature"])
+
+    found = benchmark.select("text").mapInArrow(run, "feature long").distinct().toArrow()
+    return np.sort(found["feature"].to_numpy())
+
+
+def document_frequency(docs: DataFrame, used: np.ndarray) -> tuple[np.ndarray, int]:
+    """Number of half passages of the whole corpus with each of the features, by feature, and of all half passages."""
+    size = len(used)
+    row = np.full(1 << BITS, -1, np.int32)
+    row[used] = np.arange(size)
     shared = docs.sparkSession.sparkContext.broadcast(row)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,11 +162,13 @@ def _document_frequency(docs: DataFrame, row: np.ndarray, size: int) -> tuple[np
         seen = np.flatnonzero(total)
         yield pa.record_batch([pa.array(seen), pa.array(total[seen])], ["row", "n"])
 
-    # One row per word of the benchmark, at most 2**BITS, comes back.
+    # One row per feature of the benchmark, at most 2**BITS, comes back.
     found = docs.select("text").mapInArrow(count, "row long, n long").groupBy("row").agg(F.sum("n").alias("n")).toArrow()
-    frequency = np.zeros(size + 1, np.int64)
-    frequency[found["row"].to_numpy()] = found["n"].to_numpy()
-    return frequency[:size], int(frequency[size])
+    counted = np.zeros(size + 1, np.int64)
+    counted[found["row"].to_numpy()] = found["n"].to_numpy()
+    frequency = np.zeros(1 << BITS, np.int64)
+    frequency[used] = counted[:size]
+    return frequency, int(counted[size])
 
 
 def _passages(items: list[Item], row: np.ndarray, weight: np.ndarray) -> tuple[list[tuple[int, int, float]], list[int], list[float]]:
@@ -192,16 +231,15 @@ def randomised_svd(entries: DataFrame, rank: int, seed: int, power: int = POWER)
     return b @ vector[:, best] / np.sqrt(value[best])
 
 
-def build_space(docs: DataFrame, items: list[Item], rank: int = RANK, seed: int = 3) -> Space | None:
-    """Latent space of one block of the benchmark; None if it has no word."""
-    spark = docs.sparkSession
+def build_space(spark: SparkSession, items: list[Item], counts: tuple[np.ndarray, int], rank: int = RANK, seed: int = 3) -> Space | None:
+    """Latent space of one block of the benchmark; None if it has no word. counts: see document_frequency."""
     row = np.full(1 << BITS, -1, np.int32)
     used = np.unique((mix(np.concatenate([np.array(i.words, np.uint64) for i in items]) + np.uint64(5))
                       & np.uint64((1 << BITS) - 1)).astype(np.int64)) if items else np.zeros(0, np.int64)
     row[used] = np.arange(len(used))
     if not len(used):
         return None
-    frequency, total = _document_frequency(docs, row, len(used))
+    frequency, total = counts[0][used], counts[1]
     # Never 0, whatever the share of the corpus a word stands in: an item of common words only is looked for too.
     weight = (np.log((total + 2) / (frequency + 1)) + FLOOR).astype(np.float32)
     entries, owner, length = _passages(items, row, weight)
@@ -215,7 +253,7 @@ def build_space(docs: DataFrame, items: list[Item], rank: int = RANK, seed: int
     return Space(row, weight, basis, latent, np.array(length, np.float32) * norm[:, 0], np.array(owner), items, norm[:, 0])
 
 
-def build_spaces(docs: DataFrame, items: list[Item], rank: int = RANK, seed: int = 3) -> list[Space]:
+def build_spaces(spark: SparkSession, items: list[Item], counts: tuple[np.ndarray, int], rank: int = RANK, seed: int = 3) -> list[Space]:
     """Latent spaces in which every item is told apart.
 
     A space of few directions holds what many passages share. Items it keeps too little of are dealt to further spaces, the
@@ -224,7 +262,7 @@ def build_spaces(docs: DataFrame, items: list[Item], rank: int = RANK, seed: int
     made, open_ = [], [items]
     while open_:
         own = open_.pop()
-        space = build_space(docs, own, rank, seed)
+        space = build_space(spark, own, counts, rank, seed)
         if space is None:
             continue
         weak = np.zeros(len(own), bool)
@@ -249,9 +287,48 @@ def _only(space: Space, items: np.ndarray) -> Space:
                  [item for item, keep in zip(space.items, items) if keep], space.kept[mine])
 
 
-def search(column: pa.Array, space: Space) -> list[tuple[int, int, int, float, int, bool]]:
-    """Verified matches: (text, item, first word of the passage, cosine, common words, answer found)."""
-    h, term, first = _terms(column)
+def build_exact(items: list[Item]) -> Exact:
+    keys, numbers = {}, {}
+    for n in sorted({len(item.words) for item in items}):
+        own = np.array([k for k, item in enumerate(items) if len(item.words) == n])
+        h = np.concatenate([_sequences(np.array(items[k].words, np.uint64), n) for k in own])
+        order = np.argsort(h, kind="stable")
+        keys[n], numbers[n] = h[order], own[order]
+    return Exact(keys, numbers, items)
+
+
+def _sequences(h: np.ndarray, n: int) -> np.ndarray:
+    """Hash of the n words from each place on."""
+    out = np.zeros(max(0, len(h) - n + 1), np.uint64)
+    for k in range(n):
+        out = mix(out + h[k:k + len(out)] + np.uint64(k))
+    return out
+
+
+def search_exact(h: np.ndarray, first: np.ndarray, exact: Exact) -> list[Match]:
+    """Items that stand word for word in a text, each at its first place."""
+    found = []
+    for n, keys in exact.keys.items():
+        rolled = _sequences(h, n)
+        low = np.searchsorted(keys, rolled)
+        hits = np.flatnonzero(keys[np.minimum(low, len(keys) - 1)] == rolled)
+        text = np.searchsorted(first, hits, side="right") - 1
+        whole = hits + n <= first[text + 1]
+        hits, text = hits[whole], text[whole]
+        _, once = np.unique(text * len(keys) + low[hits], return_index=True)
+        for at, d in zip(hits[once].tolist(), text[once].tolist()):
+            around = h[max(int(first[d]), at - n):min(int(first[d + 1]), at + 2 * HALF + n)].tolist()
+            for k in exact.numbers[n][low[at]:np.searchsorted(keys, rolled[at], side="right")].tolist():
+                found.append((d, k, at - int(first[d]), 1.0, n, _contains(exact.items[k].answer, around)))
+    return found
+
+
+def search(column: pa.Array, space: Space) -> list[Match]:
+    """Verified matches of the texts with the items of one space."""
+    return search_space(*_terms(column), space)
+
+
+def search_space(h: np.ndarray, term: np.ndarray, first: np.ndarray, space: Space) -> list[Match]:
     at, begins = _halves(first, HALF)
     if not len(at):
         return []
@@ -301,7 +378,7 @@ def search(column: pa.Array, space: Space) -> list[tuple[int, int, int, float, i
         window = h[low:high].tolist()
         # No subsequence can be longer than the words in common.
         there = set(window)
-        if len(item.words) < SHORTEST or sum(w in there for w in item.words) < LCS_WITH_ANSWER * len(item.words):
+        if sum(w in there for w in item.words) < LCS_WITH_ANSWER * len(item.words):
             continue
         common = common_subsequence(item.words, window)
         share = common / len(item.words)
@@ -313,62 +390,87 @@ def search(column: pa.Array, space: Space) -> list[tuple[int, int, int, float, i
     return [done[key] for key in sorted(done)]
 
 
-def spaces(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK_ITEMS) -> list[Space]:
-    """Latent spaces of the benchmark, a bounded block of items at a time. benchmark: item_id, text, answer (optional)."""
+def blocks(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK_ITEMS) -> Iterator[tuple[list[Space], Exact]]:
+    """Latent spaces and short items of the benchmark, a bounded block of items at a time.
+
+    benchmark: item_id, text, answer (optional). The corpus is counted once for all blocks; a block is made when it is asked
+    for, so the driver holds one.
+    """
     answer = F.col("answer") if "answer" in benchmark.columns else F.lit(None).cast("string")
     rows = benchmark.select("item_id", "text", answer.alias("answer")).where("text is not null")
-    blocks = max(1, -(-rows.count() // block))
-    numbered = rows.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
-    made = []
-    for k in range(blocks):
+    count = -(-rows.count() // block)
+    if not count:
+        return
+    counts = document_frequency(docs, _features(rows))
+    numbered = rows.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(count)))
+    for k in range(count):
         items = _items(numbered.where(F.col("block") == k).orderBy("item_id", "text").collect())
-        made += build_spaces(docs, items)
-    return made
+        yield (build_spaces(docs.sparkSession, [i for i in items if len(i.words) >= SHORTEST], counts),
+               build_exact([i for i in items if len(i.words) < SHORTEST]))
+
+
+def _scans(docs: DataFrame, benchmark: DataFrame, block: int) -> Iterator[list[Broadcast]]:
+    """What each scan of the documents looks for: a block's short items and spaces, up to SCAN_BYTES together or one space."""
+    send = docs.sparkSession.sparkContext.broadcast
+    for found, exact in blocks(docs, benchmark, block):
+        own, size = [send(exact)] if exact.items else [], 0
+        for space in found:
+            if size and size + space.size > SCAN_BYTES:
+                yield own
+                own, size = [], 0
+            own.append(send(space))
+            size += space.size
+        if own:
+            yield own
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def _matches(column: pa.Array, targets: list[Broadcast]) -> Iterator[tuple[list[Item], list[Match]]]:
+    h, term, first = _terms(column)
+    for target in targets:
+        own = target.value
+        yield own.items, search_exact(h, first, own) if isinstance(own, Exact) else search_space(h, term, first, own)
+
+
+FOUND = "doc_id long, item_id long, passage long, cosine double, common long, item_words long, answer boolean"
+FOUND_ARROW = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("passage", pa.int64()), ("cosine", pa.float64()),
+                         ("common", pa.int64()), ("item_words", pa.int64()), ("answer", pa.bool_())])
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK_ITEMS) -> DataFrame:
     """Pairs of documents and benchmark items they contain, in their words or nearly so.
 
     Returns doc_id, item_id, passage (first word of the best passage), cosine, common (words in common, in order),
-    item_words, answer (found whole). Empty and null texts hold nothing; an item of fewer than SHORTEST words is never
-    reported; repeated rows are each reported; an empty benchmark gives no row.
+    item_words, answer (found whole). Empty and null texts hold nothing; an item of fewer than SHORTEST words is reported
+    where it stands word for word (cosine 1, at its first place); repeated rows are each reported; an empty benchmark gives no row.
     """
-    found = None
-    for space in spaces(docs, benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(space)
+    found = docs.sparkSession.createDataFrame([], FOUND)
+    for targets in _scans(docs, benchmark, block):
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], targets=targets) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in slices(batch, "text"):
-                    rows = search(part.column("text"), shared.value)
-                    items = shared.value.items
                     ids = part.column("doc_id").to_pylist()
-                    yield pa.RecordBatch.from_pylist(
-                        [{"doc_id": ids[d], "item_id": items[k].item_id, "passage": at, "cosine": c, "common": n,
-                          "item_words": len(items[k].words), "answer": a} for d, k, at, c, n, a in rows],
-                        pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("passage", pa.int64()), ("cosine", pa.float64()),
-                                   ("common", pa.int64()), ("item_words", pa.int64()), ("answer", pa.bool_())]))
-
-        part = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-            run, "doc_id long, item_id long, passage long, cosine double, common long, item_words long, answer boolean")
-        found = part if found is None else found.unionAll(part)
-    if found is None:
-        return docs.sparkSession.createDataFrame(
-            [], "doc_id long, item_id long, passage long, cosine double, common long, item_words long, answer boolean")
+                    for items, rows in _matches(part.column("text"), targets):
+                        yield pa.RecordBatch.from_pylist(
+                            [{"doc_id": ids[d], "item_id": items[k].item_id, "passage": at, "cosine": c, "common": n,
+                              "item_words": len(items[k].words), "answer": a} for d, k, at, c, n, a in rows], FOUND_ARROW)
+
+        found = found.unionAll(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, FOUND))
     return found
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def keep_clean(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK_ITEMS) -> DataFrame:
     """The documents without a benchmark item, with all their columns, whatever these are called."""
-    for space in spaces(docs, benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(space)
+    kept = docs
+    for targets in _scans(docs, benchmark, block):
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], targets=targets) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in slices(batch, "text"):
                     keep = np.ones(part.num_rows, bool)
-                    keep[[d for d, *_ in search(part.column("text"), shared.value)]] = False
+                    for _, rows in _matches(part.column("text"), targets):
+                        keep[[d for d, *_ in rows]] = False
                     yield part.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+        kept = kept.mapInArrow(run, docs.schema)
+    return kept

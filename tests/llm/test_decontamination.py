@@ -52,7 +52,7 @@ def test_planted_items_are_found_and_clean_documents_are_not(spark):
 
 def test_blocks_of_items_give_the_same(spark):
     items, docs, truth, _ = planted(2)
-    made = dec.spaces(table(spark, rows(docs)), benchmark_table(spark, items), block=15)
+    made = [space for own, _ in dec.blocks(table(spark, rows(docs)), benchmark_table(spark, items), block=15) for space in own]
     assert len(made) == 3 and sorted(i.item_id for s in made for i in s.items) == list(range(40))
     found = set()
     import pyarrow as pa
@@ -145,3 +145,41 @@ def test_more_items_than_the_rank_leave_none_out(spark):
         docs.append((d, " ".join(text)))
     found = dec.contaminated(table(spark, rows(docs)), benchmark_table(spark, items + lone + [plain])).collect()
     assert {(r.doc_id, r.item_id) for r in found if r.item_id >= 1000} == truth
+
+
+def test_short_items_must_stand_word_for_word(spark):
+    rng = random.Random(21)
+    vocabulary = [f"s{k}" for k in range(8)]
+    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(1, 6)))) for i in range(40)]
+    items += [(100, "Capital of France is Paris"), (101, "capital of france is paris."), (102, prose(rng, 30))]
+    docs = [(d, " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(0, 12)))) for d in range(200)]
+    docs += [(300, prose(rng, 50) + ' "Capital of France is Paris", ' + prose(rng, 50)), (301, "capital of france"), (302, "is paris"),
+             (303, "capital of france was paris"), (304, prose(rng, 20) + " " + items[-1][1])]
+
+    def words(text):
+        return [w.strip("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~") for w in text.lower().split()]
+
+    want = {}
+    for d, text in docs:
+        own = words(text)
+        for i, item in items[:-1]:
+            part = words(item)
+            places = [k for k in range(len(own) - len(part) + 1) if own[k:k + len(part)] == part]
+            if places:
+                want[d, i] = places[0]
+    assert {(300, 100), (300, 101)} <= set(want)
+    found = dec.contaminated(table(spark, rows(docs)), benchmark_table(spark, items)).collect()
+    short = [r for r in found if r.item_id != 102]
+    assert {(r.doc_id, r.item_id): r.passage for r in short} == want and len(short) == len(want)
+    assert [r.doc_id for r in found if r.item_id == 102] == [304]
+    kept = dec.keep_clean(table(spark, rows(docs)), benchmark_table(spark, items))
+    assert {r.doc_id for r in kept.collect()} == {d for d, _ in docs} - {d for d, _ in want} - {304}
+
+
+def test_scans_per_block_find_the_same_pairs(spark):
+    items, docs, truth, _ = planted(5)
+    bench = benchmark_table(spark, items + [(500, "the of")])
+    found = dec.contaminated(table(spark, rows(docs)), bench, block=15).collect()
+    short = {d for d, text in docs if "the of" in " ".join(w.strip(",") for w in text.lower().split())}
+    assert {(r.doc_id, r.item_id) for r in found if r.item_id != 500} == truth
+    assert short <= {r.doc_id for r in found if r.item_id == 500}
