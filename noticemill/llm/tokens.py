@@ -27,7 +27,7 @@ WIDTHS = (8, 8, 16)
 RANK_BLOCK = 512
 BLOCK_BYTES = 4 << 20
 # Words a worker remembers with their ids. It is a memory only: a word not in it is encoded anew.
-MEMORY = 600_000
+MEMORY = 1_000_000
 
 FILE_SCHEMA = ("part int, block int, doc_ids array<long>, nulls binary, starts array<long>, n_tokens long, "
                "level_sizes array<long>, chunks array<binary>, bitmaps array<binary>, ranks array<binary>")
@@ -117,14 +117,67 @@ def _cut(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return out_starts, out_ends, first + more[first]
 
 
-def _encode(tokenizer, spans: list[str]) -> list[bytes]:
-    """Ids of each span as packed 32-bit numbers: one call for all, cut again by the tokens' places in the text."""
+def _encode(tokenizer, spans: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all spans, one after the other, and their number for each; one call for all.
+
+    A special token between spans is never joined with what stands beside it, so it cuts the ids again. Where a span
+    holds that token itself, or the tokenizer has none, the tokens' places in the text cut them.
+    """
+    marks = [(n, token.content) for n, token in tokenizer.get_added_tokens_decoder().items() if token.special]
+    if marks and not tokenizer.encode_special_tokens:
+        number, mark = marks[0]
+        ids = np.array(tokenizer.encode_batch_fast([mark.join(spans)], add_special_tokens=False)[0].ids, np.uint32)
+        cut = np.flatnonzero(ids == number)
+        if len(cut) == len(spans) - 1:
+            edges = np.concatenate([[-1], cut, [len(ids)]])
+            return np.delete(ids, cut), np.diff(edges) - 1
     begins = np.concatenate([[0], np.cumsum([len(x) + 1 for x in spans])])
     found = tokenizer.encode(" ".join(spans), add_special_tokens=False)
     at = np.fromiter((a for a, _ in found.offsets), np.int64, len(found.ids))
-    cuts = (np.searchsorted(at, begins) * 4).tolist()
-    packed = np.array(found.ids, np.uint32).tobytes()
-    return [packed[a:b] for a, b in zip(cuts, cuts[1:])]
+    return np.array(found.ids, np.uint32), np.diff(np.searchsorted(at, begins))
+
+
+def _runs(begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Places begins[k] .. begins[k] + lengths[k] - 1 of all runs, one after the other."""
+    before = np.concatenate([[0], np.cumsum(lengths)])
+    return np.arange(before[-1]) - np.repeat(before[:-1], lengths) + np.repeat(begins, lengths)
+
+
+class _Memory:
+    """Ids of distinct spans by their hash, in sorted arrays; those used longest ago are forgotten first."""
+
+    def __init__(self) -> None:
+        self.keys = np.zeros(0, np.uint64)
+        self.begin, self.length, self.used = (np.zeros(0, np.int64) for _ in range(3))
+        self.ids = np.zeros(0, np.uint32)
+        self.clock = 0
+
+    def missing(self, keys: np.ndarray) -> np.ndarray:
+        """Places of the keys that are not known; the others count as used now."""
+        self.clock += 1
+        at = np.searchsorted(self.keys, keys)
+        known = np.zeros(len(keys), bool)
+        inside = at < len(self.keys)
+        known[inside] = self.keys[at[inside]] == keys[inside]
+        self.used[at[known]] = self.clock
+        return np.flatnonzero(~known)
+
+    def add(self, keys: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> None:
+        """Ascending keys that were missing, with their ids one after the other."""
+        if len(self.keys) + len(keys) > MEMORY:
+            # Spans of the texts at hand stay, whatever their number.
+            keep = self.used == self.clock
+            late = np.argsort(self.used, kind="stable")[::-1][:MEMORY // 2]
+            keep[late] = True
+            self.keys, self.length, self.used, begin = self.keys[keep], self.length[keep], self.used[keep], self.begin[keep]
+            self.ids = self.ids[_runs(begin, self.length)]
+            self.begin = np.cumsum(self.length) - self.length
+        at = np.searchsorted(self.keys, keys)
+        self.keys = np.insert(self.keys, at, keys)
+        self.begin = np.insert(self.begin, at, len(self.ids) + np.cumsum(lengths) - lengths)
+        self.length = np.insert(self.length, at, lengths)
+        self.used = np.insert(self.used, at, self.clock)
+        self.ids = np.concatenate([self.ids, ids])
 
 
 def tokenize(column: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
@@ -137,33 +190,28 @@ def tokenize(column: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     from tokenizers import Tokenizer
 
     if _worker.get("path") != path:
-        _worker.update(path=path, tokenizer=Tokenizer.from_file(path), memory={})
+        _worker.update(path=path, tokenizer=Tokenizer.from_file(path), memory=_Memory())
     words = split_words(column)
     starts, ends, first = _cut(words)
     distinct, sample, place = np.unique(span_hashes(words.data, starts, ends, lower=False), return_index=True, return_inverse=True)
     memory = _worker["memory"]
-    if len(memory) + len(distinct) > MEMORY:
-        memory.clear()
-    keys = distinct.tolist()
-    new = [k for k, h in enumerate(keys) if h not in memory]
-    raw = words.data.tobytes()
-    for a in range(0, len(new), 20_000):
-        some = new[a:a + 20_000]
-        texts = [raw[starts[sample[k]]:ends[sample[k]]].decode("utf-8", "replace") for k in some]
-        memory.update(zip((keys[k] for k in some), _encode(_worker["tokenizer"], texts)))
-    own = [memory[h] for h in keys]
-    lengths = np.fromiter(map(len, own), np.int64, len(own)) // 4
-    flat = np.frombuffer(b"".join(own), np.uint32)
-    begins = np.concatenate([[0], np.cumsum(lengths)])[:-1] if own else np.zeros(0, np.int64)
+    new = memory.missing(distinct)
+    if len(new):
+        raw, parts = words.data.tobytes(), []
+        for a in range(0, len(new), 20_000):
+            own = sample[new[a:a + 20_000]]
+            texts = [raw[b:c].decode("utf-8", "replace") for b, c in zip(starts[own].tolist(), ends[own].tolist())]
+            parts.append(_encode(_worker["tokenizer"], texts))
+        memory.add(distinct[new], np.concatenate([n for _, n in parts]), np.concatenate([ids for ids, _ in parts]))
+    at = np.searchsorted(memory.keys, distinct)[place]
     # Ids of the words in order, with room for the end id after each text.
-    count = lengths[place] if len(place) else np.zeros(0, np.int64)
+    count = memory.length[at]
     total = np.concatenate([[0], np.cumsum(count)])
     texts = len(first) - 1
     text_begins = total[first] + np.arange(texts + 1)
     out = np.full(total[-1] + texts, END, np.uint32)
     text_of = np.repeat(np.arange(texts), np.diff(total[first]))
-    source = np.arange(total[-1]) - np.repeat(total[:-1], count) + np.repeat(begins[place] if len(place) else begins, count)
-    out[np.arange(total[-1]) + text_of] = flat[source]
+    out[np.arange(total[-1]) + text_of] = memory.ids[_runs(memory.begin[at], count)]
     return out, text_begins
 
 

@@ -74,3 +74,15 @@ def test_shuffled_ids_and_empty_table(spark):
     data = [(rng.randrange(100), " ".join(rng.choice(["Tion,", "the", "éa.", "x1"]) for _ in range(rng.randrange(30)))) for _ in range(120)]
     check(plain(spark, data).repartition(4), data)
     assert tokens.token_digest(table(spark, []), PATH).collect() == []
+
+
+def test_memory_forgets_and_special_tokens_stand_in_texts(monkeypatch):
+    rng = random.Random(17)
+    parts = ["a", "Bc", "'s", "é", "ß", "<|endoftext|>", "<|startoftext|>", "<|end", "|>", ".", ",", "12", " ", "  ", "\n", " ", "漢", "\U0001F600", ""]
+    monkeypatch.setattr(tokens, "MEMORY", 30)
+    monkeypatch.setattr(tokens, "_worker", {})
+    for _ in range(20):
+        texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(25))) for _ in range(40)] + [None]
+        ids, begins = tokens.tokenize(pa.array(texts), PATH)
+        for k, text in enumerate(texts):
+            assert ids[begins[k]:begins[k + 1]].tolist() == ids_of(text)
