@@ -2,6 +2,7 @@ import itertools
 
 import pytest
 from helpers import given, golden_frame, jcp_fields, record_frame, records_frame
+from noticemill.functions import text
 from noticemill.operators import confidence, reconciliation as rc, routing, rules
 from noticemill.plans import pipeline
 from pyspark.sql import functions as F
@@ -189,3 +190,26 @@ def test_approval_only_for_reviews(spark, decided):
     assert r.manual_review.previous_status == "REVIEW_REQUIRED"
     assert r.manual_review.acknowledged_reasons == r.review.reasons and r.exceptions
     assert sorted(x.document_id for x in refused.collect()) == ["good", "nope"]
+
+
+def test_decision_lists_are_generated_code(spark):
+    # A filter of nulls out of a built array is evaluated as a tree of objects for every record.
+    golden = rc.prepare_golden(golden_frame(spark))
+    decided = pipeline.decide(records_frame(spark, CASES), golden).select("exceptions", "document_confidence")
+    plan = decided._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_distinct(" in plan
+    assert "filter(array(" not in plan and "filter(CASE" not in plan and "filter(concat(array(" not in plan
+
+
+def test_material_fields_of_a_score(rows):
+    for r in rows.values():
+        known = r.document_confidence
+        assert sorted([*known.resolved_fields, *known.missing_fields]) == sorted(known.required_fields)
+        assert known.completion_percentage == round(100 * len(known.resolved_fields) / len(known.required_fields))
+    assert len(rows["good"].document_confidence.required_fields) == 10
+    assert rows["unknown"].document_confidence.missing_fields[:1] == ["corporate_action.event_type"]
+
+
+def test_case_partners_outside_ascii(spark):
+    words = spark.createDataFrame([("\u0130\u0131\u017f\u212aK A\u00c7\u00c3O",)], ["w"])
+    assert words.select(text.caseless(F.col("w"))).first()[0] == "iiskk a\u00e7\u00e3o"
