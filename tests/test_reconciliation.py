@@ -166,3 +166,33 @@ def test_few_names_are_scored_where_very_many_are_similar(monkeypatch):
         expected += [(name, -s, i, p) for s, i, p in scored if -s >= fuzzy._T][:3]
     assert [tuple(r) for r in found.itertuples(index=False)] == expected
     assert len(calls) < len(known) / 2
+
+
+def test_lookups_hold_a_golden_record_once(spark, monkeypatch):
+    rows = golden_frame(spark, [(n, f"Companhia {n} S.A.", f"{n:014d}", f"BR{n:010d}", f"TT{n:06d}", "ON", "Novo Mercado", "ativo") for n in range(40)])
+    whole = rc.prepare_golden(rows).rows
+    bound = next(limit for limit in range(1000, 10**6, 100) if scale.fits_broadcast(whole, limit))
+    # All columns of the golden table together need the bound; what the lookups broadcast needs half of it.
+    monkeypatch.setattr(rc, "fits_broadcast", lambda df: scale.fits_broadcast(df, bound * 6 // 10))
+    assert rc.prepare_golden(rows).small
+
+
+def test_records_are_not_shuffled_for_a_large_golden_table(spark):
+    from noticemill.operators.extraction import extract_notice
+    from helpers import pages_frame
+
+    golden = rc.prepare_golden(golden_frame(spark))
+    golden.small = False
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        records = extract_notice(pages_frame(spark, [("a", 1, "Companhia Alfa S.A.\nISIN BRALFAACNOR1"), ("b", 1, "(ISIN BRBETAACNPR2)"), ("c", 1, "x")]))
+        done = rc.reconcile(records, golden)
+        plan = done._jdf.queryExecution().executedPlan().toString().split("\n")
+        found = {r.document_id: r.reference_validation.reference_record for r in done.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    assert {k: v and v.ticker for k, v in found.items()} == {"a": "ALFA3", "b": "BETA4", "c": None}
+    # Wide rows cross a shuffle once, as candidates of the pages.
+    wide = [line for line, below in zip(plan, plan[1:]) if "Exchange hashpartitioning" in line and "net_amount_per_share" in below]
+    assert len(wide) == 1, wide
